@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, mixing, quality
+from . import audio, language, mixing, neardup, quality
 
-_MODULES = (mixing, quality, audio, language)
+_MODULES = (mixing, quality, audio, neardup, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
