@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, mixing, neardup, quality
+from . import audio, language, mixing, neardup, quality, suffixtree
 
-_MODULES = (mixing, quality, audio, neardup, language)
+_MODULES = (mixing, quality, audio, suffixtree, neardup, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
