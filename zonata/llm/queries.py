@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, mixing, neardup, quality, repeats, suffixtree
+from . import audio, language, mixing, neardup, quality, repeats, sentencepieces, suffixtree, tokenfiles
 
-_MODULES = (mixing, quality, audio, repeats, suffixtree, neardup, language)
+_MODULES = (mixing, quality, tokenfiles, audio, repeats, sentencepieces, suffixtree, neardup, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
