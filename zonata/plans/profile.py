@@ -28,7 +28,7 @@ def profile_12_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BASE = tables.DISTANCES.replace("{events}", "events").replace("cast(user_id % 10 as string)", "cast(user_id % 10 as varchar)")
+_BASE = tables.duck(tables.DISTANCES)
 
 QUERIES = {"a14_profile_12_bins": profile_12_bins}
 SQL = {

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profile
+from . import profile, statistics
 
-_MODULES = (profile,)
+_MODULES = (profile, statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

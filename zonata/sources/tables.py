@@ -31,3 +31,67 @@ from {events}
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact table: one row per (protein, lobule, pixel) with its distances and intensity."""
     return sql(spark, sf_dir, DISTANCES)
+
+
+SLIDE_STATS = """
+select o_orderkey as lobule, r_name as species, n_name as subject, c_mktsegment as roi, o_totalprice as area, sum(l_quantity) as perimeter,
+  avg(l_discount) as compactness, max(l_extendedprice) as minimum_bounding_radius
+from {orders} join {lineitem} on l_orderkey = o_orderkey join {customer} on c_custkey = o_custkey
+  join {nation} on n_nationkey = c_nationkey join {region} on r_regionkey = n_regionkey
+group by o_orderkey, r_name, n_name, c_mktsegment, o_totalprice
+"""
+
+
+def slide_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry table: one row per lobule with its measures."""
+    return sql(spark, sf_dir, SLIDE_STATS)
+
+
+PIXELS = """
+select vec_id as image_id, cast(p div 8 as int) as y, cast(p % 8 as int) as x, cast(floor(abs(cast(e as double)) * 1000) as int) % 256 as v
+from {embeddings} lateral view posexplode(embedding) t as p, e
+"""
+PIXELS_DUCK = """
+select vec_id as image_id, cast(p // 8 as integer) as y, cast(p % 8 as integer) as x, cast(floor(abs(cast(embedding[p + 1] as double)) * 1000) as integer) % 256 as v
+from embeddings, (select unnest(range(64)) as p)
+"""
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel table: each embedding as an 8 x 8 image."""
+    return sql(spark, sf_dir, PIXELS)
+
+
+RGB = """
+select l_orderkey, l_linenumber, l_suppkey % 16 as tile, cast(l_quantity * 5 as int) % 256 as r, cast(floor(l_extendedprice) as int) % 256 as g, cast(l_partkey % 256 as int) as b
+from {lineitem}
+"""
+
+
+def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour pixels: each line item, in tiles 0 to 15."""
+    return sql(spark, sf_dir, RGB)
+
+
+POLYGONS = """
+select vec_id as geom_id, transform(sequence(0, 63), p -> named_struct('x', (10 + 10 * abs(cast(embedding[p] as double))) * cos(2 * pi() * p / 64),
+  'y', (10 + 10 * abs(cast(embedding[p] as double))) * sin(2 * pi() * p / 64))) as ring
+from {embeddings}
+"""
+POLYGON_POINTS_DUCK = """
+select vec_id as geom_id, cast(p as integer) as p, (10 + 10 * abs(cast(embedding[p + 1] as double))) * cos(2 * pi() * p / 64) as x,
+  (10 + 10 * abs(cast(embedding[p + 1] as double))) * sin(2 * pi() * p / 64) as y
+from embeddings, (select unnest(range(64)) as p)
+"""
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry table: a star polygon of 64 vertices for each embedding."""
+    return sql(spark, sf_dir, POLYGONS)
+
+
+def duck(text: str) -> str:
+    """The same view for DuckDB: tables by their plain names."""
+    for name in TABLES:
+        text = text.replace("{" + name + "}", name)
+    return text.replace("as string)", "as varchar)")
