@@ -172,8 +172,8 @@ def hexbin(df: DataFrame, keys: list[str], x: str, y: str, size: int = 15) -> Da
 
 
 def required_n(mean: Column, std: Column, n: Column, d: Column) -> Column:
-    """Sample size at which the mean's 95 % interval is within the share d, for a finite population of n."""
-    return 1 / ((mean * d) ** 2 / (F.lit(1.96**2) * std**2) + 1 / n)
+    """Sample size at which the mean's 95 % interval is within the share d, for a finite population of n; no spread: 0."""
+    return F.coalesce(F.try_divide(F.lit(1.0), F.try_divide((mean * d) ** 2, F.lit(1.96**2) * std**2) + 1 / n), F.lit(0.0))
 
 
 def fractal_fit(df: DataFrame, keys: list[str], area: str = "area", perimeter: str = "perimeter") -> DataFrame:
