@@ -96,10 +96,11 @@ def _corrected(cells: DataFrame, targets: DataFrame, cap: int, rounds: int = 4)
         miss = cells.groupBy("skey").agg(F.sum(F.col("k") * F.col("size")).alias("has")).join(targets, "skey")
         miss = miss.select("skey", F.round(F.col("target") - F.col("has")).cast("long").alias("e"))
         room = F.when(F.col("e") > 0, cap * F.col("n") - F.col("k")).otherwise(F.col("k"))
-        fit = cells.join(miss, "skey").where((F.col("size") <= F.abs("e")) & (room > 0))
-        fit = fit.groupBy("skey").agg(F.max_by(F.struct("size", "e", room.alias("room")), "size").alias("f"))
-        step = F.least(F.abs("f.e").cast("long") - F.abs("f.e").cast("long") % F.col("f.size"), F.col("f.room") * F.col("f.size")) / F.col("f.size")
-        fit = fit.select("skey", F.col("f.size").alias("size"), (F.signum("f.e") * step).cast("long").alias("add"))
+        fit = cells.join(miss, "skey").where(F.col("size") <= F.abs("e")).withColumn("room", room)
+        larger = Window.partitionBy("skey").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        left = F.abs("e") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        add = F.greatest(F.lit(0), F.least("room", F.floor(left / F.col("size")))) * F.signum("e")
+        fit = fit.select("skey", "size", add.cast("long").alias("add"))
         cells = cells.join(fit, ["skey", "size"], "left").withColumn("k", F.col("k") + F.coalesce("add", F.lit(0))).drop("add").checkpoint()
     return cells
 
