@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profile, statistics
+from . import geometry, profile, statistics
 
-_MODULES = (profile, statistics)
+_MODULES = (profile, statistics, geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
