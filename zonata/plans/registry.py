@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import geometry, profile, statistics
+from . import geometry, profile, raster, statistics
 
-_MODULES = (profile, statistics, geometry)
+_MODULES = (profile, statistics, geometry, raster)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
