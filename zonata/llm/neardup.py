@@ -1,13 +1,13 @@
 """Near-duplicate groups by a signature-coordinate inverted join, confirmed on full shingle sets.
 
 Every document has the set of its distinct n-word shingles. Equal sets are one class from the start. A MinHash signature has H
-coordinates; a class is posted under its coordinate-value pairs. Two classes whose sets are similar enough agree in at least T
-coordinates (but for a chance of a few in 100,000 at the threshold itself, far less above it), so it is enough to post the
+coordinates; a class is posted under its coordinate-value pairs. Two classes whose sets are similar enough agree in at least
+T coordinates (but for a chance of a few in 100,000 at the threshold itself, far less above it), so it is enough to post the
 size - T + 1 rarest of the pairs that a class shares with any other (prefix), which skips the frequent ones. Candidates come
 from these lists, are counted on whole signatures, and are confirmed on full sets.
 
 Large lists are not paired out: rounds of one leader for each list link most of a group in linear work; what is left between
-different components in a list is then compared in full, so no list is capped.
+different components in a list then has its signatures compared within the join, so no list is capped.
 
 Defined results: null and empty texts, and texts without words, have an empty set, size 0, and stand alone. A text with fewer
 than n words is one shingle. Repeated rows fall into one class. Other columns are not looked at.
@@ -20,18 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import documents, pieces, shared_dir, written
 
-#: Coordinates of a signature and agreements that a pair must reach.
-H, T = 32, 18
+#: Coordinates that are posted, and all coordinates, of which BITS bits each are compared; standard deviations below the mean of
+#: a pair at the threshold at which a pair is still looked at.
+H, WIDTH, BITS, DEVIATIONS = 32, 128, 4, 4.3
 #: Rounds of leaders at most; pairs left over between components, for each posting, at which all of them are compared.
-LEADER_ROUNDS, LEFT_OVER = 8, 2
+LEADER_ROUNDS, LEFT_OVER = 8, 1000
 _RNG = np.random.default_rng(20240229)
-_XOR, _MUL = _RNG.integers(0, 1 << 63, H, dtype=np.uint64), _RNG.integers(0, 1 << 63, H, dtype=np.uint64) | np.uint64(1)
+_XOR, _MUL = _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64), _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64) | np.uint64(1)
 
 
 class Shingler:
@@ -63,39 +64,55 @@ class Shingler:
         return np.unique(out)
 
 
+def needed(of: int, percent: int, bits: int = 32) -> int:
+    """Agreements of `of` coordinates that a pair must reach; different values agree in `bits` bits by chance."""
+    p = percent / 100 + (1 - percent / 100) / 2**bits
+    return max(1, int(of * p - DEVIATIONS * (of * p * (1 - p)) ** 0.5))
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """H minima of independent hashes, 32 bits each."""
-    least = np.full(H, np.iinfo(np.uint32).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        block = (hashes[at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]
-        least = np.minimum(least, (block >> np.uint64(32)).min(1))
-    return least.astype(np.uint32).view(np.int32)
+    """WIDTH minima of hashes of 32 bits; each product gives two."""
+    least = np.full((2, WIDTH // 2), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(hashes), 2048):
+        block = ((hashes[at : at + 2048] ^ _XOR[:, None]) * _MUL[:, None]).view(np.uint32)
+        np.minimum(least[0], block[:, 1::2].min(1), out=least[0])
+        np.minimum(least[1], (block[:, ::2] ^ block[:, 1::2] >> np.uint32(7)).min(1), out=least[1])
+    return least.ravel()
+
+
+def fingerprint(sig: np.ndarray) -> np.ndarray:
+    """The low BITS bits of all coordinates, in 64-bit numbers."""
+    part = (sig & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
+    return (part << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set, null if empty), sig array<int>."""
+    """doc_id, n_shingles, key (128 bits of the set, null if empty), sig (H coordinates), bits (the fingerprint of all)."""
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(n)
         for part in pieces(frames, "text", 8_000_000):
             sets = [shingles(t) for t in part["text"]]
+            sigs = [signature(s) if len(s) else None for s in sets]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(),
                 "n_shingles": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "sig": [signature(s) if len(s) else None for s in sets],
+                "sig": [s[:H].view(np.int32) if s is not None else None for s in sigs],
+                "bits": [fingerprint(s) if s is not None else None for s in sigs],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig array<int>")
+    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig array<int>, bits array<long>")
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    """v, id, n: the postings that a class needs: of the pairs it shares, rarest first, size - T + 1."""
+def prefixes(classes: DataFrame, agree: int) -> DataFrame:
+    """v, id, p: the postings that a class needs, of the pairs it shares the rarest, size - agree + 1; p: all of its."""
     v = F.explode(F.transform(F.col("sig"), lambda x, i: F.shiftleft(i.cast("long"), 32) + x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = classes.select("id", v.alias("v"))
     shared = posted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    by_class = posted.join(shared, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p")).where(F.size("p") >= T)
-    return by_class.select("id", F.explode(F.slice("p", F.lit(1), F.size("p") - (T - 1))).alias("p")).select("p.v", "id")
+    by_class = posted.join(shared, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p")).where(F.size("p") >= agree)
+    first = by_class.select("id", F.slice("p", F.lit(1), F.size("p") - (agree - 1))["v"].alias("p"))
+    return first.select(F.explode("p").alias("v"), "id", "p")
 
 
 def _inner(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -103,6 +120,17 @@ def _inner(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int((np.diff(np.sort(z)) == 0).sum()) for z in both], dtype="int64")
 
 
+def _close(percent: int) -> Column:
+    """Whether classes a and b can be similar enough by their sizes, and agree in enough coordinates."""
+    differ = F.lit(0)
+    for i in range(WIDTH * BITS // 64):
+        x = F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])
+        for k in (1, 2):  # any of a coordinate's four bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= WIDTH - needed(WIDTH, percent, BITS))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of the pairs whose signatures agree often enough and whose full sets are similar enough."""
 
@@ -111,13 +139,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
         return pd.Series([shingles(t).tobytes() for t in text])
 
     make, common = F.pandas_udf(sets, "binary"), F.pandas_udf(_inner, "long")
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda z: z))
-    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= T)
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b", "n_a", "n_b"), "likely")
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
+    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     # repeated rows of a document would repeat its pairs; one is enough
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     with_sets = lambda x: texts.select(F.col("doc_id").alias(x), make("text").alias(f"set_{x}"))
     inner = likely.join(with_sets("a"), "a").join(with_sets("b"), "b").select("a", "b", "n_a", "n_b", common("set_a", "set_b").alias("i"))
     return inner.where(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct()
@@ -127,9 +153,9 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept."""
     shared_dir(spark)
     book = written(sketches(docs, n), "sketches")
-    classes = book.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = book.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
-    posts = written(prefixes(classes), "posts")
+    posts = written(prefixes(classes, needed(H, percent)), "posts")
     n_posts = posts.count()
     label = posts.select("id").distinct().withColumn("component", F.col("id"))
     links = None
@@ -141,10 +167,14 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
         if not left:
             break
         still = placed.join(open_.select("v"), "v")
-        last = left <= LEFT_OVER * n_posts or k == LEADER_ROUNDS
+        last = (k > 0 and left <= LEFT_OVER * n_posts) or k == LEADER_ROUNDS
         if last:
-            other = still.select("v", F.col("id").alias("b"), F.col("component").alias("component_b"))
-            pairs = still.withColumnRenamed("id", "a").join(other, "v").where("a < b and component <> component_b").select("a", "b").distinct()
+            full = still.join(classes.select("id", "n", "bits"), "id")
+            side = lambda x: full.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "bits", "p")))  # noqa: E731, B023
+            pairs = side("a").join(side("b"), "v").where(
+                (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _close(percent)
+                & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("v"))  # of all lists that hold a pair, one gives it
+            ).select("a", "b")
         else:
             order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
             leader = still.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l"))
