@@ -49,7 +49,7 @@ def _hex(spark, sf_dir):
 
 def _lookup(spark, sf_dir):
     o = tables.table(spark, sf_dir, "lineitem")
-    idx = o.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber") + 1)).alias("idx"))
+    idx = o.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_linenumber") + 1)).alias("idx"))
     items = o.select("l_orderkey", F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("part"))
     out = C.looked_up(idx.withColumn("idx", F.transform("idx", lambda i: i.cast(items.schema["at"].dataType))), "idx", items, ["l_orderkey"], "at", "part")
     return out.select("l_orderkey", F.concat_ws(",", F.transform("part", lambda p: p.cast("string"))).alias("parts"))
@@ -113,7 +113,7 @@ SQL = {
     "p3_filter_annotations": "select event_id, event_type as class, case event_type when 'signup' then 1 else 2 end as ord from events where event_type in ('signup', 'click')",
     "p6_validate_annotations": "with n as (select user_id as image_id, count(*) filter (where event_type = 'click') as a, count(*) filter (where event_type = 'view') as b from events group by user_id) select image_id, case when a = 0 then 'no liver' else 'livers and lobes differ' end as reason from n where a = 0 or (a > 1 and a <> b)",
     "j6_registered_slides": "select c_custkey, n, n is null as missing from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on o_custkey = c_custkey",
-    "j7_vessel_index_lookup": "with i as (select l_orderkey, l_linenumber + 1 as k from lineitem), p as (select i.l_orderkey, i.k, l.l_partkey from i left join lineitem l on l.l_orderkey = i.l_orderkey and l.l_linenumber = i.k) select l_orderkey, coalesce(string_agg(cast(l_partkey as varchar), ',' order by k, l_partkey) filter (where l_partkey is not null), '') as parts from p group by l_orderkey",
+    "j7_vessel_index_lookup": "with i as (select distinct l_orderkey, l_linenumber + 1 as k from lineitem), p as (select i.l_orderkey, i.k, l.l_partkey from i left join lineitem l on l.l_orderkey = i.l_orderkey and l.l_linenumber = i.k) select l_orderkey, coalesce(string_agg(cast(l_partkey as varchar), ',' order by k, l_partkey) filter (where l_partkey is not null), '') as parts from p group by l_orderkey",
     "j12_least_greatest_pairs": "select least(l_partkey, l_suppkey) as g1, greatest(l_partkey, l_suppkey) as g2, count(*) as n from lineitem group by all",
     "j13_label_lookup": "select doc_id, quality from documents left join labels using (doc_id)",
     "j19_subject_species": f"select subject, any_value(species) as species from ({_D}) group by subject",

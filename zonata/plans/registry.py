@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, geometry, profile, raster, statistics
+from . import catalog, geometry, masks, profile, raster, statistics
 
-_MODULES = (profile, statistics, geometry, raster, catalog)
+_MODULES = (profile, statistics, geometry, raster, catalog, masks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
