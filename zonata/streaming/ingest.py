@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, keys: list[str], target: str, state: str, event_time: str | None = None, delay: str = "1 hour") -> None:
@@ -31,7 +31,8 @@ def ingested(spark: SparkSession, source: str, schema: StructType, keys: list[st
     """The target table after one run in a fresh place under folder."""
     at = f"{folder}/ingest-{uuid.uuid4().hex}"
     ingest(spark, source, schema, keys, f"{at}/table", f"{at}/state")
-    return spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(f"{at}/table").drop("batch")
+    with_batch = StructType([*schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(with_batch).parquet(f"{at}/table").drop("batch")
 
 
 def late_counts(events: DataFrame, time: str, window: str, delay: str, *keys: str) -> DataFrame:
