@@ -170,6 +170,7 @@ def fit(train: DataFrame) -> Tree:
     levels, below = [grams], grams
     for d in range(DEPTH - 1, -1, -1):
         below = below.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("c").alias("c"))
+        below = written(below, "grams")
         levels.insert(0, below)
     kept: list[pd.DataFrame] = []
     for d, level in enumerate(levels):
@@ -187,7 +188,7 @@ def fit(train: DataFrame) -> Tree:
         else:
             own = own.withColumn("diverges", F.lit(True))
         own = own.where(F.col("c") >= ENTRY * least if d else F.lit(True))
-        kept.append(own.select("gram", "ctx", "c", "n", "diverges").toPandas())
+        kept.append(own.select("gram", "ctx", "c", "n", "diverges").toArrow().to_pandas())
     return _assembled(kept, total)
 
 
@@ -226,8 +227,9 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
     shared_dir(spark)
     counts = written(word_counts(train), "words")
     n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    usual = counts.where(F.col("n") >= FREQUENT * n_all).toPandas()
-    sent = spark.sparkContext.broadcast((dict(zip(map(bytes, usual["word"]), usual["n"].tolist(), strict=True)), fit(train)))
+    usual = counts.where(F.col("n") >= FREQUENT * n_all).select("word", "n").toArrow()
+    known_words = dict(zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True))
+    sent = spark.sparkContext.broadcast((known_words, fit(train)))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, tree = sent.value
