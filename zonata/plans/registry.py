@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, geometry, masks, profile, raster, spatial, statistics
+from . import catalog, geometry, masks, profile, raster, records, spatial, statistics
 
-_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial)
+_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
