@@ -292,25 +292,38 @@ def _covers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fetched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of runs: one row a run; for runs of wide buckets one row a window, keyed by the window's own hash, of which
     equal ones in a block leave the first."""
-    unpack = zstandard.ZstdDecompressor()
+    unpack, columns = zstandard.ZstdDecompressor(), ["whole", "deal", "key", "uid", "start", "n", "bytes"]
+    out: list[tuple] = []
+    single: dict[bytes, list[tuple[int, int]]] = {}
+    held = 0
+
+    def given() -> pd.DataFrame:
+        for window, places in single.items():
+            key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+            first = min(places)
+            out.append((False, key, key, *first, 1, window))
+            out.extend((True, uid, key, uid, at, 1, b"") for uid, at in places if (uid, at) != first)
+        rows = pd.DataFrame(out, columns=columns)
+        out.clear()
+        single.clear()
+        return rows
+
     for frame in frames:
-        out: list[tuple] = []
-        single: dict[bytes, list[tuple[int, int]]] = {}
         for uid, body, wanted in zip(frame["uid"], frame["body"], frame["wanted"], strict=True):
             raw = unpack.decompress(body)
             for w in wanted:
                 start, n = w["start"], w["n"]
+                held += n
                 if w["wide"]:
                     for at in range(start, start + n):
                         single.setdefault(raw[at : at + LENGTH], []).append((uid, at))
                 else:
                     out.append((False, w["key"], w["key"], uid, start, n, raw[start : start + n + LENGTH - 1]))
-        for window, places in single.items():
-            key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-            first = min(places)
-            out.append((False, key, key, *first, 1, window))
-            out.extend((True, uid, key, uid, at, 1, b"") for uid, at in places if (uid, at) != first)
-        yield pd.DataFrame(out, columns=["whole", "deal", "key", "uid", "start", "n", "bytes"])
+                if held >= 100_000:  # bounds what is held, whatever a text or a batch wants
+                    yield given()
+                    held = 0
+    if held:
+        yield given()
 
 
 def _kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
