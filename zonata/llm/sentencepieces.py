@@ -138,28 +138,27 @@ def unmarked(text: str) -> bytes:
     return text.replace(SPACE, " ").replace(LITERAL, SPACE).encode("utf-8", "surrogatepass")
 
 
-def ends(v: Vocabulary, chunk: str, ahead: str) -> tuple[int, int]:
-    """Where the first unit of a chunk ends and where its last one starts (0 and 0 if one unit fills it)."""
-    first = re.search(f"(?<!{SPACE}){SPACE}", chunk[1:])
-    if chunk[-1] == SPACE or not first:
-        runs = [m.start() for m in re.finditer(f"(?<!{SPACE}){SPACE}", chunk)]
-        runs = [r for r in runs if r > 0]
-        return (runs[0], runs[-1]) if runs else (0, 0)
-    start = len(chunk)
-    while True:  # the last run of spaces that does not start the chunk
-        start = chunk.rfind(SPACE, 0, start)
-        if start and chunk[start - 1] != SPACE:
-            return first.start() + 1, start
+def ends(chunk: str) -> tuple[int, int]:
+    """Where the first unit of a chunk ends and where its last one starts (0 and 0 if one unit fills it). A run of spaces that
+    the chunk starts in may have begun before it and starts no unit here."""
+    first = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
+    if not first:
+        return 0, 0
+    last = len(chunk)
+    while True:
+        last = chunk.rfind(SPACE, 0, last)
+        if chunk[last - 1] != SPACE:
+            return first.start(), last
 
 
 def matrix(v: Vocabulary, chunk: str, ahead: str) -> np.ndarray:
     """Transfer matrix (states, states): entered in state i, left to the next chunk in state j; the text's end is state 0."""
     k = v.longest
     out = np.full((k, k), NONE, np.int64)
-    u0, u1 = ends(v, chunk, ahead)
+    u0, u1 = ends(chunk)
     whole = chunk + ahead
     if not u0:
-        for i in range(min(k, len(chunk))):
+        for i in range(min(k, len(chunk) + 1)):
             best, _ = v.paths(whole, i, len(chunk))
             tail = best[len(chunk) : len(chunk) + k]
             out[i, : len(tail)] = tail
@@ -198,7 +197,7 @@ def chain(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
 def traced(v: Vocabulary, chunk: str, ahead: str, entry: int, leave: int) -> tuple[list[int], int]:
     """Ids and score of the pieces that start in the chunk, between its two states."""
     whole, stop = chunk + ahead, len(chunk) + leave
-    u0, u1 = ends(v, chunk, ahead)
+    u0, u1 = ends(chunk)
     if not u0:
         best, last = v.paths(whole, entry, len(chunk))
         return list(v.trace(last, entry, stop)), best[stop]
@@ -216,6 +215,8 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int
     """doc_id, row, chunk, ids, score, lossless (the decoded ids equal the text): a row for each chunk of each document, one
     for a text of no pieces. A chunk's ids are those of the pieces that start in it."""
     shared_dir(spark)
+    if chunk < vocabulary(model).longest:
+        raise ValueError("a chunk must hold the longest piece")
     long_ = F.length("text") >= chunk
     texts = docs.select("doc_id", "text")
 
