@@ -29,6 +29,8 @@ from .shared import documents, pieces, shared_dir, written
 #: Coordinates that are posted, and all coordinates, of which BITS bits each are compared; standard deviations below the mean of
 #: a pair at the threshold at which a pair is still looked at.
 H, WIDTH, BITS, DEVIATIONS = 32, 128, 4, 4.3
+#: Cells that shingles are dealt to; the parities of their counts differ in no more cells than the sets differ in shingles.
+CELLS = 512
 #: Rounds of leaders at most; pairs left over between components, for each posting, at which all of them are compared.
 LEADER_ROUNDS, LEFT_OVER = 8, 1000
 _RNG = np.random.default_rng(20240229)
@@ -86,8 +88,14 @@ def fingerprint(sig: np.ndarray) -> np.ndarray:
     return (part << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the counts of hashes by cell, in 64-bit numbers."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set, null if empty), sig (H coordinates), bits (the fingerprint of all)."""
+    """doc_id, n_shingles, key (128 bits of the set, null if empty), sig (H coordinates), bits (the fingerprint of all), odd."""
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(n)
@@ -100,9 +108,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sig": [s[:H].view(np.int32) if s is not None else None for s in sigs],
                 "bits": [fingerprint(s) if s is not None else None for s in sigs],
+                "odd": [parities(s) if len(s) else None for s in sets],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig array<int>, bits array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig array<int>, bits array<long>, odd array<long>")
 
 
 def prefixes(classes: DataFrame, agree: int) -> DataFrame:
@@ -128,7 +137,10 @@ def _close(percent: int) -> Column:
         for k in (1, 2):  # any of a coordinate's four bits
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= WIDTH - needed(WIDTH, percent, BITS))
+    apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(CELLS // 64)), F.lit(0))
+    # sets of that similarity differ in (100 - percent) / (100 + percent) of their sizes' sum at most, which is exact
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & near & (differ <= WIDTH - needed(WIDTH, percent, BITS))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -139,7 +151,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
         return pd.Series([shingles(t).tobytes() for t in text])
 
     make, common = F.pandas_udf(sets, "binary"), F.pandas_udf(_inner, "long")
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("odd").alias(f"odd_{x}"))
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     # repeated rows of a document would repeat its pairs; one is enough
@@ -153,7 +165,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept."""
     shared_dir(spark)
     book = written(sketches(docs, n), "sketches")
-    classes = book.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    classes = book.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
     classes = written(classes, "classes")
     posts = written(prefixes(classes, needed(H, percent)), "posts")
     n_posts = posts.count()
@@ -169,8 +181,8 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
         still = placed.join(open_.select("v"), "v")
         last = (k > 0 and left <= LEFT_OVER * n_posts) or k == LEADER_ROUNDS
         if last:
-            full = still.join(classes.select("id", "n", "bits"), "id")
-            side = lambda x: full.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "bits", "p")))  # noqa: E731, B023
+            full = still.join(classes.select("id", "n", "bits", "odd"), "id")
+            side = lambda x: full.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "bits", "odd", "p")))  # noqa: E731, B023
             pairs = side("a").join(side("b"), "v").where(
                 (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _close(percent)
                 & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("v"))  # of all lists that hold a pair, one gives it
