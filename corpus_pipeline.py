@@ -5,6 +5,10 @@ the last return the columns of documents: language ID drops documents without a
 lang; near-dedup keeps one document of each group (5-word shingles, similarity 0.8 or more); secret scans mask secrets in text;
 mixing repeats documents by their copies. The last returns a row for each copy: doc_id, n_tokens, score,
 ids_hash and lossless.
+
+Defined results: decisions are made and applied by row, never by doc_id. A null doc_id is a document like any other, each row of
+its own; repeated rows are copies of each other, of which near-dedup keeps one; rows that share a doc_id but not a text are
+different documents. Other nulls are as the stage's operator defines them.
 """
 
 from __future__ import annotations
@@ -18,6 +22,11 @@ from zonata.llm.shared import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of documents and __row, a number of the row, fixed by writing."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), name)
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts between two languages; lang becomes the prediction."""
     model = language.train(docs.where(~language.held_out()))
@@ -27,9 +36,13 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = neardup.link(spark, docs, n=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates, a row with the smallest doc_id (null: after all others)."""
+    rows = numbered(docs, "to-deduplicate")
+    groups = neardup.link(spark, rows.select(F.col("__row").alias("doc_id"), "text"), n=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"]
+    kept = rows.select("doc_id", "__row").join(groups, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +53,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those without a copy go."""
-    taken = mixing.mix(spark, docs).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return docs.select(*COLUMNS).join(taken.select("doc_id"), "doc_id").select(*COLUMNS)
+    rows = numbered(docs, "to-mix")
+    taken = mixing.mix(spark, rows, row=F.col("__row")).where("copies > 0")
+    taken = taken.select(F.col("row").alias("__row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.join(taken.select("__row"), "__row").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2
 ROUNDS, TOLERANCE = 60, 1e-7
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source and its key without nulls, size: the words of the whole text."""
+def sizes_of(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, row, source and its key without nulls, size: the words of the whole text."""
+    row = F.monotonically_increasing_id() if row is None else row
     return docs.select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), count_words(F.col("text")).alias("size")
+        "doc_id", row.alias("row"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), count_words(F.col("text")).alias("size")
     )
 
 
@@ -105,10 +106,13 @@ def _corrected(cells: DataFrame, targets: DataFrame, cap: int, rounds: int = 4)
     return cells
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, rate (double), copies (long), taken = copies * size."""
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, rate (double), copies (long), taken = copies * size.
+
+    row: a number of the rows that the caller holds, which is then returned too.
+    """
     shared_dir(spark)
-    sizes = written(sizes_of(docs), "mix-sizes")
+    sizes = written(sizes_of(docs, row), "mix-sizes")
     targets = targets_of(sizes, weights, share, cap).checkpoint()
     counted = sizes.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     typical = counted.groupBy("skey").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("typical"))
@@ -122,16 +126,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
     cells = _corrected(cells, targets, cap)
     # a document's rank in its cell, by salts: no window holds a whole cell
     salts = max(256, sizes.count() // 50_000)
-    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = sizes.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(salts)))
     keys = ["skey", "size", "salt"]
     before = Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
     starts = starts.join(cells.select("skey", "size", "n", "k", "rate"), ["skey", "size"], "left").join(targets, "skey").drop("m")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))).join(starts, keys)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "row"))).join(starts, keys)
     each = F.floor(F.col("k") / F.col("n"))
     copies = F.coalesce(each + F.when(F.col("start") + F.col("rank") <= F.col("k") - each * F.col("n"), 1).otherwise(0), F.lit(0)).cast("long")
     return ranked.select(
-        "doc_id", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", *([] if row is None else ["row"]), "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
