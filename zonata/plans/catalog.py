@@ -66,6 +66,13 @@ def _truth(spark, sf_dir):
     return rounded(d.where("n_chars > 500").groupBy("lang").agg(F.avg((F.col("quality") == 1).cast("double")).alias("precision"), F.count(F.lit(1)).alias("n")), 6)
 
 
+def _centre_norms(e):
+    """label, norm: the length of each cluster's centre over all numbers of its embeddings."""
+    each = e.select("label", F.posexplode("embedding").alias("i", "v"))
+    centre = each.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return centre.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+
+
 QUERIES = {
     "s1_slide_catalog": _slides(C.SUBJECT),
     "s2_slide_catalog_v2": _slides(C.SUBJECT_V2),
@@ -90,6 +97,7 @@ QUERIES = {
     "a41_coverage_argmax": lambda spark, sf_dir: tables.distances(spark, sf_dir).groupBy("subject", "protein").agg(F.count("intensity").alias("n")).groupBy("subject").agg(F.min_by("protein", F.struct(-F.col("n"), "protein")).alias("protein")),
     "a44_outcome_report": lambda spark, sf_dir: C.outcome_report(tables.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("outcome"), F.col("o_orderkey").alias("file"))).select("outcome", "n", "total", F.col("files")[0].alias("first"), F.size("files").alias("listed")),
     "w3_cluster_order": lambda spark, sf_dir: rounded(tables.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sqrt(sum((F.pow(F.avg(F.col("embedding")[i].cast("double")), 2) for i in range(8)), F.lit(0.0))).alias("norm")).withColumn("ord", F.row_number().over(Window.orderBy("norm")))),
+    "w3_cluster_order_whole": lambda spark, sf_dir: rounded(_centre_norms(tables.table(spark, sf_dir, "embeddings")).withColumn("ord", F.row_number().over(Window.orderBy("norm", "label")))),
     "w4_cumulative_sum": lambda spark, sf_dir: rounded(tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)).alias("running"))),
     "w8_greedy_assignment": _greedy,
     "w11_first_per_group": lambda spark, sf_dir: C.first_per(tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"]),
@@ -123,6 +131,7 @@ SQL = {
     "a41_coverage_argmax": f"select subject, protein from (select subject, protein, count(intensity) as n from ({_D}) group by all) qualify row_number() over (partition by subject order by n desc, protein) = 1",
     "a44_outcome_report": "select o_orderstatus as outcome, count(*) as n, (select count(*) from orders) as total, min(o_orderkey) as first, cast(count(*) as integer) as listed from orders group by o_orderstatus",
     "w3_cluster_order": "with n as (select label, sqrt(" + " + ".join(f"pow(avg(cast(embedding[{i + 1}] as double)), 2)" for i in range(8)) + ") as norm from embeddings group by label) select label, round(norm, 4) as norm, cast(row_number() over (order by norm) as integer) as ord from n",
+    "w3_cluster_order_whole": "with e as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings), c as (select label, i, avg(cast(v as double)) as m from e group by label, i), n as (select label, sqrt(sum(m * m)) as norm from c group by label) select label, round(norm, 4) as norm, cast(row_number() over (order by norm, label) as integer) as ord from n",
     "w4_cumulative_sum": "select l_orderkey, l_linenumber, round(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding), 4) as running from lineitem",
     "w11_first_per_group": "select l_orderkey, l_linenumber, l_partkey from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber) = 1",
     "u1_concat_tables": "select key, kind, count(*) as n from (select c_nationkey as key, 'c' as kind from customer union all select s_nationkey, 's' from supplier) group by all",
