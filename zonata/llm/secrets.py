@@ -1,10 +1,12 @@
 """Secret scans: a broad candidate pattern, then a random forest that removes false positives. DataFrame operations only.
 
-A candidate is a run of 12 or more key characters with a digit. Its features are its length, shares of character classes,
+A candidate is a value after a credential's name and = or : (quoted or not, of any length and printable characters, without the
+name), or else a run of 12 or more key characters with a digit. Its features are its length, shares of character classes,
 transitions between classes, different characters, the share of its characters that dictionary words cover (words of three
 letters or more that occur at least DICTIONARY times in all documents), the path (the document's source, hashed) and its
 neighbouring words. The forest learns from labelled findings. Where none are given, `weak_labels` labels the clear cases:
-quoted values assigned to a credential's name are secrets, all digits without an assignment are not, the rest has no label.
+quoted values assigned to a credential's name are secrets; all digits without an assignment, UUIDs, dates, paths, hashes after
+words of version control and bare dictionary words are not; the rest has no label.
 
 Defined results: null and empty texts have no candidates. If the labels are of one kind, or none, no forest is grown and the
 weak label decides (null: not a secret). Copies of a finding are findings of their own. An empty table gives no rows. Other
@@ -23,16 +25,32 @@ from pyspark.sql import functions as F
 
 from .shared import documents, shared_dir, written
 
-#: A candidate: a whole run of key characters, 12 or more, with a digit among them.
-CANDIDATE = r"((?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])[A-Za-z0-9+/_=\-]{12,}+)"
+_NAME = r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 BEFORE, AFTER = 40, 16
-KEYWORD = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
-ASSIGNED = r"""[=:]\s*["']?$"""
+KEYWORD = f"(?i){_NAME}"
+ASSIGNED = r"""[=:]\s*["'`]?$"""
+#: A value after a credential's name and = or :, without the name: to the closing quote, or to the next space or quote.
+_AFTER_NAME = rf"""(?<=(?i:{_NAME})[A-Za-z0-9_\-]{{0,20}}["'`]?\s{{0,3}}[=:]\s{{0,3}}%s)"""
+_FIRST = r"""[^\s"'`=:>,;.)\]}]"""
+_QUOTED = "|".join(rf"(?<={q}){_AFTER_NAME % q}(?:\\.|[^{q}\\\r\n])++(?={q})" for q in "\"'`")
+_BARE = rf"(?<=[=:\s]){_AFTER_NAME % ''}{_FIRST}(?:[^\s\"'`]*[^\s\"'`,;.)\]}}])?"
+#: Or a whole run of key characters, 12 or more, with a digit among them, unless it holds such a name and its value.
+_BROAD = (
+    r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z0-9+/_=\-]{12})(?=[A-Za-z+/_=\-]*+[0-9])"
+    rf"(?![A-Za-z0-9+/_\-]{{0,60}}(?i:{_NAME})[A-Za-z0-9_\-]{{0,20}}={_FIRST})[A-Za-z0-9+/_=\-]{{12,}}+"
+)
+CANDIDATE = f"({_QUOTED}|{_BARE}|{_BROAD})"
 DICTIONARY, PATHS = 50, 16
 #: At most so many labelled findings are learned from, the first by a hash.
 MAX_TRAIN = 50_000
 TREES, LEVELS, SEED, SECRET_AT = 20, 6, 17, 0.5
 MASK = "[SECRET]"
+#: Clear cases that are no secrets.
+UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9_-]*)?$"
+PATH = r"^/(?:[a-z0-9_\-]+/)+[a-z0-9_\-]*$"
+HASH = r"^[0-9a-f]{12,64}$"
+VERSION = r"(?i)(?:commit|revision|changeset|merge|parent|checksum|digest|md5|sha-?(?:1|256|512))\W{1,3}$"
 
 
 def parts_of(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -95,7 +113,11 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 def weak_labels(featured: DataFrame) -> DataFrame:
     """label: 1.0, 0.0 or null, by the clear cases alone."""
     sure = (F.col("assigned") == 1) & (F.col("keyword") == 1) & (F.col("quoted") == 1)
-    return featured.withColumn("label", F.when(sure, 1.0).when((F.col("digits") == 1) & (F.col("assigned") == 0), 0.0))
+    value, named = F.col("value"), (F.col("keyword") == 1) & (F.col("assigned") == 1)
+    clear = value.rlike(UUID) | value.rlike(DATE) | value.rlike(PATH) | (value.rlike(HASH) & F.col("before").rlike(VERSION))
+    word = (F.col("quoted") == 0) & (F.col("covered") == 1)
+    not_one = ((F.col("digits") == 1) & (F.col("assigned") == 0)) | (clear & ~named) | word
+    return featured.withColumn("label", F.when(sure, 1.0).when(not_one, 0.0))
 
 
 def train(labelled: DataFrame):
