@@ -44,3 +44,21 @@ def test_edges(spark, docs_repeated, none, data, docs):
     assert S.score(spark, none, none).count() == 0
     assert S.score(spark, docs_repeated, docs_repeated).count() == len(data)
     assert {r["base_score"] for r in S.score(spark, docs.where("text is null"), none).collect()} == {0.0}
+
+
+def test_scores_by_tables_equal_the_tree_in_memory(spark, docs, unique, monkeypatch):
+    train = docs.where("doc_id % 3 > 0")
+    tree = S.fit(train)
+    for usual in (S.USUAL, 1e-3):  # with rare grams by a join
+        monkeypatch.setattr(S, "USUAL", usual)
+        got = {r["doc_id"]: r["score"] for r in S.score(spark, docs, train).collect()}
+        for d, t, *_ in unique:
+            codes, starts, sizes = S.stream([S.tokens(t)])
+            assert math.isclose(got[d], tree.score(codes[S._spans(starts, sizes)]).sum(), rel_tol=1e-5)
+
+
+def test_a_clear_context_stays_however_much_text_is_added(spark):
+    rare, common = "qzxwjv" * 8, "the cat sat on the mat and ran off " * 3000
+    small = spark.createDataFrame([(rare,)] + [(common,)] * 2, "text string")
+    large = spark.createDataFrame([(rare,)] + [(common,)] * 400, "text string")
+    assert all(S.fit(x).backs[1].get(np.array([ord("z")]))[0].all() for x in (small, large))

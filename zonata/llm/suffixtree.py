@@ -1,10 +1,12 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a smoothed unigram base over words.
 
 A text is its lower-cased (ASCII) words joined by spaces and one end symbol. From all training texts, symbol counts after every
-context of up to DEPTH bytes are gathered. A context stays if it is frequent enough (a share P_MIN of all symbols, which bounds
-the tree by 1 / P_MIN contexts a depth whatever the input) and if its next-symbol distribution diverges from that of its
-suffix; all suffixes of a kept context are kept. Distributions are smoothed towards the suffix's. The score of a text adds the
-log probability of each symbol after the longest kept suffix of what stands before it.
+context of up to DEPTH bytes are gathered. A context stays if it occurs LEAST times and if a likelihood-ratio test tells its
+next-symbol distribution from that of its suffix (neither scales with the corpus, so the tree grows with the input); all suffixes
+of a kept context are kept, with all their entries. Distributions are smoothed towards the suffix's. The score of a text adds the
+log probability of each symbol after the longest kept suffix of what stands before it. The tree is a written table a depth. The
+different (DEPTH + 1)-grams of the texts get their log probabilities by joins, level by level; those of frequent grams are then
+looked up in a broadcast table and those of all others joined to the texts.
 
 Defined results: null and empty texts are the end symbol alone. With no training rows counts are 0 and the tree is a uniform
 root. Repeated rows get a row each. Other columns are not looked at.
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .shared import documents, hashed_part, pieces, shared_dir, written
 
-DEPTH, END = 5, b"\n"
-#: Least share of all symbols for a context; least gain of a context over its suffix, and least count of an entry, as shares of that.
-P_MIN, GAIN, ENTRY = 1e-6, 0.05, 0.1
+DEPTH, END = 6, b"\n"
+#: Least count of a context; standard deviations by which 2 * gain must be over its mean (the degrees of freedom) under no divergence.
+LEAST, DEVIATIONS = 4, 3.0
+#: Grams of at least this share of all symbols (so 1 / USUAL at most) are looked up in a broadcast table, others by a join.
+USUAL = 2.5e-7
 #: Weight of the suffix's distribution, in counts.
 MU = 4.0
 #: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are looked up in a broadcast table, others by a join.
@@ -162,64 +166,82 @@ class Tree:
         return out
 
 
-def fit(train: DataFrame) -> Tree:
-    """Counts are gathered and tested as tables; what comes to the driver is bounded by P_MIN alone."""
-    grams = written(train.select("text").mapInPandas(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")), "grams")
-    total = grams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(1.0, P_MIN * total)
-    levels, below = [grams], grams
+def gram_counts(texts: DataFrame, name: str) -> DataFrame:
+    return written(texts.select("text").mapInPandas(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")), name)
+
+
+def _last(gram: str, d: int):
+    """The last d bytes of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * d) - 1))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """levels[d]: gram (d bytes and the next symbol), p; backs[d]: ctx (a kept context), weight of its suffix; d = 0 has none."""
+
+    levels: tuple[DataFrame, ...]
+    backs: tuple[DataFrame | None, ...]
+    floor: float
+
+
+def grow(train: DataFrame) -> Tables:
+    """The tree as written tables; the driver sees the number of all symbols alone."""
+    counts = [gram_counts(train, "grams")]
     for d in range(DEPTH - 1, -1, -1):
-        below = below.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("c").alias("c"))
-        below = written(below, "grams")
-        levels.insert(0, below)
-    kept: list[pd.DataFrame] = []
-    for d, level in enumerate(levels):
-        ctx = F.shiftright("gram", 8)
-        big = level.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n")).where(F.col("n") >= (0 if d == 0 else least))
-        own = level.withColumn("ctx", ctx).join(big, "ctx")
+        counts.insert(0, written(counts[0].groupBy(_last("gram", d + 1).alias("gram")).agg(F.sum("c").alias("c")), "grams"))
+    total = counts[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    nodes = [written(g.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")), "contexts") for g in counts]
+    kept: list[DataFrame | None] = [None] * (DEPTH + 1)
+    for d in range(DEPTH, 0, -1):
+        own = counts[d].withColumn("ctx", F.shiftright("gram", 8)).join(nodes[d].where(F.col("n") >= LEAST).select("ctx", "n"), "ctx")
+        up = counts[d - 1].select(F.col("gram").alias("up"), F.col("c").alias("c_up"))
+        gain = own.withColumn("up", _last("gram", d)).join(up, "up")
+        # sum of c log((c / n) / (c_up / n_up)), of which log(n_up / n) is the context's own
+        gain = gain.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("c_up"))).alias("g"), F.first("n").alias("n")).withColumn("ctx_up", _last("ctx", d - 1))
+        tested = gain.join(nodes[d - 1].select(F.col("ctx").alias("ctx_up"), F.col("n").alias("n_up"), (F.col("k") - 1).alias("df")), "ctx_up")
+        twice = 2 * (F.col("g") + F.col("n") * F.log(F.col("n_up") / F.col("n")))
+        stays = tested.where((F.col("df") > 0) & (twice >= F.col("df") + DEVIATIONS * F.sqrt(2 * F.col("df")))).select("ctx")
+        if d < DEPTH:
+            stays = stays.union(kept[d + 1].select(_last("ctx", d).alias("ctx"))).distinct()
+        kept[d] = written(stays.join(nodes[d].select("ctx", "n"), "ctx"), "kept")
+    levels = [written(counts[0].select("gram", ((F.col("c") + _ROOT) / F.lit(total + 256 * _ROOT)).alias("p")), "entries")]
+    for d in range(1, DEPTH + 1):
+        own = counts[d].withColumn("ctx", F.shiftright("gram", 8)).join(kept[d], "ctx").withColumn("up", _last("gram", d))
+        # the suffix of a gram after a kept context is an entry after the context's kept suffix
+        p = (F.col("c") + MU * F.col("p")) / (F.col("n") + MU)
+        levels.append(written(own.join(levels[-1].withColumnRenamed("gram", "up"), "up").select("gram", p.alias("p")), "entries"))
+    backs = [None if k is None else k.select("ctx", (F.lit(MU) / (F.col("n") + MU)).alias("weight")) for k in kept]
+    return Tables(tuple(levels), tuple(backs), _ROOT / (total + 256 * _ROOT))
+
+
+def fit(train: DataFrame) -> Tree:
+    """The whole tree in memory, for few texts; `score` keeps it in tables."""
+    t = grow(train)
+
+    def held(df: DataFrame) -> Table:
+        a = df.toArrow()
+        return Table.of(a.column(0).to_numpy(), np.log10(a.column(1).to_numpy()))
+
+    backs = (Table.of(np.empty(0, np.int64), np.empty(0)), *(held(b) for b in t.backs[1:]))
+    return Tree(tuple(map(held, t.levels)), backs, float(np.log10(t.floor)))
+
+
+def looked_up(grams: DataFrame, t: Tables) -> DataFrame:
+    """gram, c, lp: the log10 probability of the gram's last symbol after the others, by a join with each level."""
+    left, done = grams.select("gram", "c", F.lit(0.0).alias("lp")), []
+    for d in range(DEPTH, -1, -1):
+        own = left.withColumn("own", _last("gram", d + 1)).join(t.levels[d].withColumnRenamed("gram", "own"), "own", "left")
         if d:
-            short = (1 << 8 * d) - 1
-            up = levels[d - 1].select(F.col("gram").alias("up"), F.col("c").alias("c_up"))
-            up_n = levels[d - 1].groupBy(F.shiftright("gram", 8).alias("ctx_up")).agg(F.sum("c").alias("n_up"))
-            both = own.withColumn("up", F.col("gram").bitwiseAND(F.lit(short))).withColumn("ctx_up", F.shiftright("up", 8)).join(up, "up").join(up_n, "ctx_up")
-            gain = F.sum(F.col("c") * F.log(F.col("c") / F.col("n") / (F.col("c_up") / F.col("n_up"))))
-            tested = both.groupBy("ctx").agg(gain.alias("gain")).select("ctx", (F.col("gain") >= GAIN * least).alias("diverges"))
-            own = own.join(tested, "ctx")
-        else:
-            own = own.withColumn("diverges", F.lit(True))
-        own = own.where(F.col("c") >= ENTRY * least if d else F.lit(True))
-        kept.append(own.select("gram", "ctx", "c", "n", "diverges").toArrow().to_pandas())
-    return _assembled(kept, total)
-
-
-def _assembled(kept: list[pd.DataFrame], total: int) -> Tree:
-    keep: set[int] = set()
-    for d in range(DEPTH, 0, -1):  # kept contexts and all their suffixes
-        frame = kept[d]
-        ctx = frame["ctx"].to_numpy(np.int64)
-        stays = frame["diverges"].to_numpy(bool) | np.isin(ctx, np.fromiter(keep, np.int64, len(keep)))
-        kept[d] = frame[stays]
-        keep = {int(c) for c in np.unique(ctx[stays]) & ((1 << 8 * (d - 1)) - 1)}
-    entries, backs = [], [Table.of(np.empty(0, np.int64), np.empty(0))]
-    before_keys = before_p = np.empty(0)
-    floor = _ROOT / (total + 256 * _ROOT)
-    for d, frame in enumerate(kept):
-        frame = frame.sort_values("gram")
-        gram, c, n, ctx = (frame[k].to_numpy(np.int64) for k in ("gram", "c", "n", "ctx"))
-        if d == 0:
-            p = (c + _ROOT) / (total + 256 * _ROOT)
+            own = own.withColumn("ctx", F.shiftright("own", 8)).join(t.backs[d], "ctx", "left")
+            own = written(own.select("gram", "c", "lp", "p", "weight"), "level")
+            left = own.where("p is null").select("gram", "c", (F.col("lp") + F.coalesce(F.log10("weight"), F.lit(0.0))).alias("lp"))
         else:
-            nodes, at, first = np.unique(ctx, return_inverse=True, return_index=True)[0::2] + (np.unique(ctx, return_index=True)[1],)
-            n_node = n[first]
-            weight = (n_node - np.bincount(at, c, len(nodes)) + MU) / (n_node + MU)
-            up = gram & ((1 << 8 * d) - 1)
-            where = np.minimum(np.searchsorted(before_keys, up), max(0, len(before_keys) - 1))
-            p_up = np.where(before_keys[where] == up, before_p[where], floor) if len(before_keys) else np.full(len(up), floor)
-            p = c / (n + MU) + weight[at] * p_up
-            backs.append(Table.of(nodes, np.log10(weight)))
-        entries.append(Table.of(gram, np.log10(p)))
-        before_keys, before_p = gram, p
-    return Tree(tuple(entries), tuple(backs), float(np.log10(floor)))
+            own = own.withColumn("p", F.coalesce("p", F.lit(t.floor)))
+        done.append(own.where("p is not null").select("gram", "c", (F.col("lp") + F.log10("p")).alias("lp")))
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return written(out, "looked-up")
 
 
 def score(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -229,25 +251,32 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
     n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     usual = counts.where(F.col("n") >= FREQUENT * n_all).select("word", "n").toArrow()
     known_words = dict(zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True))
-    sent = spark.sparkContext.broadcast((known_words, fit(train)))
+    probabilities = looked_up(gram_counts(docs, "doc-grams"), grow(train))
+    n_grams = probabilities.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    often = probabilities.where(F.col("c") >= USUAL * n_grams).select("gram", "lp").toArrow()
+    sent = spark.sparkContext.broadcast((known_words, Table.of(often["gram"].to_numpy(), often["lp"].to_numpy())))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, tree = sent.value
+        known, table = sent.value
         for part in pieces(frames, "text", 1_000_000):
             texts = [tokens(t) for t in part["text"]]
             codes, starts, sizes = stream(texts)
             at = _spans(starts, sizes)
-            sums = np.add.reduceat(tree.score(codes[at]), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            codes = codes[at]
+            there, values = table.get(codes)
+            first_at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            sums = np.add.reduceat(values.astype(np.float64), first_at)
             rows = []
-            for doc_id, row, words, total in zip(part["doc_id"], part["row"], texts, sums, strict=True):
+            for doc_id, row, words, total, a, size in zip(part["doc_id"], part["row"], texts, sums, first_at, sizes, strict=True):
+                other, seen = np.unique(codes[a : a + size][~there[a : a + size]], return_counts=True)
                 words.append(END)
                 n = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
                 usual_n = n[n > 0]
                 rare = Counter(w for w, k in zip(words, n.tolist(), strict=True) if not k) if len(usual_n) < len(n) else {}
-                rows.append((doc_id, row, len(words), len(usual_n), float(np.log10(usual_n + 0.1).sum()), float(total), list(rare.keys()), list(rare.values())))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "n_tokens", "n_usual", "usual", "score", "rare", "times"])
+                rows.append((doc_id, row, len(words), len(usual_n), float(np.log10(usual_n + 0.1).sum()), float(total), list(rare.keys()), list(rare.values()), other, seen))
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "n_tokens", "n_usual", "usual", "score", "rare", "times", "grams", "seen"])
 
-    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>"
+    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<long>"
     first = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     looked = rare.join(counts.where(F.col("n") < FREQUENT * n_all), "word", "left")
@@ -256,9 +285,13 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
     per = F.lit(float(np.log10(n_all + 0.1 * (v + 1))))
-    return first.drop("rare", "times").join(looked, "row", "left").select(
+    others = first.select("row", F.explode(F.arrays_zip("grams", "seen")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.seen").alias("seen"))
+    others = others.join(probabilities.where(F.col("c") < USUAL * n_grams).select("gram", "lp"), "gram")
+    others = others.groupBy("row").agg(F.sum(F.col("seen") * F.col("lp")).alias("others"))
+    return first.drop("rare", "times", "grams", "seen").join(looked, "row", "left").join(others, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_usual") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("usual") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"), "score",
+        (F.col("usual") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"),
+        (F.col("score") + F.coalesce("others", F.lit(0.0))).alias("score"),
     )
 
 
