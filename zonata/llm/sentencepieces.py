@@ -10,12 +10,13 @@ next chunk, the largest score of the pieces that start in it. Matrices are combi
 groups of chunks, states at the groups' ends, then states within each group, each group apart. With its two states known, each
 chunk is traced back on its own.
 
-Within a chunk, no piece reaches over the start of a run of spaces, so paths are solved for each unit between those and kept in
-a bounded cache; only the units at a chunk's ends take part in its matrix unless one unit fills the chunk.
+No piece reaches over the start of a run of spaces, so paths are solved for each unit between those: the different units of a
+batch of texts at once, each once, and kept in a bounded cache. Only the units at a chunk's ends take part in its matrix and are
+traced back once its states are known (the whole chunk, if one unit fills it); the ids between them are kept from the first pass.
 
 Spaces are kept as they are, one is put before a text; characters without a piece fall back to their bytes, as does a literal
 U+2581, so decoding gives back each text without loss. Defined results: null and empty texts have no pieces and decode to the
-empty text; repeated rows get a row each; an empty table gives none.
+empty text; repeated rows get a row each; an empty table gives none. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +38,36 @@ from .shared import documents, pieces, shared_dir, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a U+2581 of the text itself; no valid text holds it
-#: Characters of a chunk, chunks of a group, units kept in a worker's cache.
-CHUNK, GROUP, CACHE = 8192, 256, 400_000
+#: Characters of a chunk, chunks of a group, units and characters kept in a worker's cache.
+CHUNK, GROUP, CACHE, CACHE_CHARS = 8192, 256, 500_000, 8_000_000
+#: Characters of texts taken at once, and of segments solved at once.
+BATCH, BLOCK = 2_000_000, 500_000
 NONE = -(1 << 60)
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_BYTES, _OFF = -1, -2  # in place of a piece: a character by its bytes; no piece of the path starts here
+_UNIT = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Segments of text one after another with a gap behind each: code points, segments' starts, and edges ordered by their
+    start's place in its segment; cuts[t] is the first edge of place t."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    score: np.ndarray
+    cuts: np.ndarray
+
+
+def _utf8_size(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64)
 
 
 class Vocabulary:
-    """Pieces with integer scores, prefixes to stop at, bytes for what has no piece; and decoding."""
+    """Pieces with integer scores, a trie of them, paths through texts; and decoding."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,77 +76,168 @@ class Vocabulary:
         ranked = sorted(normal, key=lambda i: (-model.get_score(i), i))
         total = math.log(len(ranked)) + 0.5772
         self.pieces = {model.id_to_piece(i): (i, round(-math.log((r + 2.7) * total) * 1e6)) for r, i in enumerate(ranked)}
-        self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
+        if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
+            raise ValueError("a piece reaches over the start of a run of spaces")
+        byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
+        self.byte = np.array([byte[b] for b in range(256)], np.int32)
         self.byte_score = min(s for _, s in self.pieces.values()) - 1_000_000
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.raw = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.raw[i] = p.replace(SPACE, " ").encode()
-        for b, i in self.byte.items():
+        for b, i in byte.items():
             self.raw[i] = bytes([b])
-        self.cache: dict[str, tuple[tuple[int, ...], int]] = {}
-
-    def edges(self, text: str, at: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
-        """(end, ids, score) of the pieces that start at `at`."""
-        single = False
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part not in self.prefixes:
-                break
-            if part in self.pieces:
-                i, s = self.pieces[part]
-                single |= end == at + 1
-                yield end, (i,), s
-        if not single:
-            raw = (SPACE if text[at] == LITERAL else text[at]).encode("utf-8", "surrogatepass")
-            yield at + 1, tuple(self.byte[b] for b in raw), self.byte_score * len(raw)
-
-    def paths(self, text: str, start: int, stop: int) -> tuple[list[int], list]:
-        """Largest scores from `start` to each position, by pieces that start before `stop`, and each position's last edge."""
-        best, last = [NONE] * (len(text) + 1), [None] * (len(text) + 1)
-        best[start] = 0
-        for at in range(start, stop):
-            here = best[at]
-            if here == NONE:
-                continue
-            for end, ids, s in self.edges(text, at):
-                if here + s > best[end]:
-                    best[end], last[end] = here + s, (at, ids)
+        self.score = np.zeros(n, np.int64)
+        for i, s in self.pieces.values():
+            self.score[i] = s
+        self._grow_trie()
+        self.forget()
+
+    def _grow_trie(self) -> None:
+        chars = sorted({c for p in self.pieces for c in p})
+        self.symbol = np.zeros(0x110000, np.int64)
+        self.symbol[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n_symbols = len(chars) + 1
+        nodes = {"": 0}
+        for p in self.pieces:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        step = np.array([nodes[p[:-1]] * self.n_symbols + self.symbol[ord(p[-1])] for p in nodes if p], np.int64)
+        order = np.argsort(step)
+        self.steps, self.child = step[order], 1 + order
+        self.piece = np.array([self.pieces.get(p, (_BYTES,))[0] for p in nodes], np.int64)
+        self.first = np.zeros(self.n_symbols, np.int64)
+        roots = self.steps < self.n_symbols
+        self.first[self.steps[roots]] = self.child[roots]
+
+    def forget(self) -> None:
+        """Empties the cache: unit without its first space to its number, and the units' ids, scores and characters."""
+        self.number: dict[str, int] = {}
+        self.ids, self.at, self.n_ids, self.scores, self.chars = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def lattice(self, segments: list[str], stops: np.ndarray | None = None) -> Lattice:
+        """The pieces that start in the segments (before their stops, if given) and end in them."""
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        codes = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
+        symbols = self.symbol[codes]
+        gap = starts + sizes
+        symbols[gap] = 0
+        at = np.flatnonzero(place < np.repeat(sizes if stops is None else stops, sizes + 1))
+        alone = np.ones(len(codes), bool)
+        source, length, piece = [], [], []
+        node, k = self.first[symbols[at]], 1
+        on, node = at[node > 0], node[node > 0]
+        while len(on):
+            got = self.piece[node]
+            hit = got >= 0
+            source.append(on[hit])
+            length.append(np.full(len(source[-1]), k, np.int64))
+            piece.append(got[hit])
+            if k == 1:
+                alone[source[-1]] = False
+            step = node * self.n_symbols + symbols[on + k]
+            slot = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            there = self.steps[slot] == step
+            on, node, k = on[there], self.child[slot[there]], k + 1
+        rest = at[alone[at]]
+        source, length, piece = np.concatenate([*source, rest]), np.concatenate([*length, np.ones(len(rest), np.int64)]), np.concatenate([*piece, np.full(len(rest), _BYTES, np.int64)])
+        score = np.where(piece >= 0, self.score[piece], self.byte_score * _utf8_size(codes[source]))
+        where = place[source]
+        order = np.argsort(where.astype(np.uint16) if len(where) and where.max() < 1 << 16 else where, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(where)))) if len(where) else np.zeros(1, np.int64)
+        source = source[order]
+        return Lattice(codes, starts, sizes, source, source + length[order], piece[order], score[order], cuts)
+
+    def paths(self, lat: Lattice, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest scores from each segment's entry to each position, and each position's last edge; all segments at once."""
+        best, last = np.full(len(lat.codes), NONE, np.int64), np.zeros(len(lat.codes), np.int64)
+        best[lat.starts + entries] = 0
+        for a, b in zip(lat.cuts[:-1], lat.cuts[1:], strict=True):
+            s, end = best[lat.source[a:b]] + lat.score[a:b], lat.target[a:b]
+            more = np.flatnonzero(s > best[end])  # edges of one place end in different positions
+            end = end[more]
+            best[end], last[end] = s[more], a + more
         return best, last
 
-    def trace(self, last: list, start: int, end: int) -> tuple[int, ...]:
-        out: list[tuple[int, ...]] = []
-        while end > start:
-            end, ids = last[end]
-            out.append(ids)
-        return tuple(i for ids in reversed(out) for i in ids)
-
-    def unit(self, text: str) -> tuple[tuple[int, ...], int]:
-        got = self.cache.get(text)
-        if got is None:
-            best, last = self.paths(text, 0, len(text))
-            got = self.trace(last, 0, len(text)), best[-1]
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(text) <= 64:
-                self.cache[text] = got
-        return got
-
-    def encode(self, text: str) -> tuple[list[int], int]:
-        """A whole marked text, solved unit by unit."""
-        ids: list[int] = []
-        score = 0
-        unit, cache = self.unit, self.cache
-        for u in _UNIT.findall(text):
-            own, s = cache.get(u) or unit(u)
-            ids += own
-            score += s
-        return ids, score
-
-    def decode(self, ids) -> bytes:
-        raw = self.raw
-        return b"".join([raw[i] for i in ids])
+    def all_entries(self, lat: Lattice) -> np.ndarray:
+        """Largest scores to each position (rows) from each of a segment's first positions (columns)."""
+        best = np.full((len(lat.codes), self.longest), NONE, np.int64)
+        for i in range(self.longest):
+            best[lat.starts[lat.sizes >= i] + i, i] = 0
+        for a, b in zip(lat.cuts[:-1], lat.cuts[1:], strict=True):
+            end = lat.target[a:b]
+            best[end] = np.maximum(best[end], best[lat.source[a:b]] + lat.score[a:b, None])
+        return best
+
+    def trace(self, lat: Lattice, last: np.ndarray, entries: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on the best paths from the entries to the goals, segment after segment, and their number in each."""
+        path = np.full(len(lat.codes), _OFF, np.int64)
+        at, origin = lat.starts + goals, lat.starts + entries
+        while True:
+            going = at > origin
+            at, origin = at[going], origin[going]
+            if not len(at):
+                break
+            edge = last[at]
+            at = lat.source[edge]
+            path[at] = lat.piece[edge]
+        on = np.flatnonzero(path != _OFF)
+        ids, codes = path[on], lat.codes[on]
+        raw = ids == _BYTES
+        n = np.where(raw, _utf8_size(codes), 1)
+        out = np.repeat(ids, n)
+        text = codes[raw].tobytes().decode("utf-32-le", "surrogatepass").replace(LITERAL, SPACE)
+        out[out == _BYTES] = self.byte[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        per = np.bincount(np.searchsorted(lat.starts, on, "right") - 1, n, len(lat.starts)).astype(np.int64)
+        return out.astype(np.int32), per
+
+    def solve(self, segments: list[str], entries: np.ndarray, goals: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after another, their number and the score of each segment, between its entry and its goal."""
+        got = []
+        for a, b in runs(segments, BLOCK):
+            lat = self.lattice(segments[a:b], stops[a:b])
+            best, last = self.paths(lat, entries[a:b])
+            got.append((*self.trace(lat, last, entries[a:b], goals[a:b]), best[lat.starts + goals[a:b]]))
+        if not got:
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+    def _learn(self, units: list[str]) -> None:
+        """Adds units to the cache."""
+        whole = [SPACE + u for u in units]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        ids, n, scores = self.solve(whole, np.zeros_like(sizes), sizes, sizes)
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
+        self.ids, self.n_ids, self.scores = np.concatenate((self.ids, ids)), np.concatenate((self.n_ids, n)), np.concatenate((self.scores, scores))
+        self.chars += int(sizes.sum())
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids and score of each marked text (empty, or beginning with a space), by its units."""
+        units: list[str] = []
+        per = []
+        for x in texts:
+            own = _UNIT.findall(x) if SPACE * 2 in x else x.split(SPACE)[1:]
+            units += own
+            per.append(len(own))
+        new = set(units).difference(self.number)
+        if self.number and (len(self.number) + len(new) > CACHE or self.chars + sum(map(len, new)) > CACHE_CHARS):
+            self.forget()
+            new = set(units)
+        if new:
+            self._learn(list(new))
+        number = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        n = self.n_ids[number]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(self.at[number] - ends[:-1], n) + np.arange(ends[-1])]
+        edges = np.concatenate(([0], np.cumsum(per))).astype(np.int64)
+        scores = np.concatenate(([0], np.cumsum(self.scores[number])))[edges]
+        return np.split(ids, ends[edges[1:-1]]) if texts else [], np.diff(scores)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
 @lru_cache(2)
@@ -130,8 +245,24 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(path)
 
 
+def runs(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about `limit` characters, one text at least."""
+    start = held = 0
+    for i, x in enumerate(texts):
+        if i > start and held + len(x) > limit:
+            yield start, i
+            start, held = i, 0
+        held += len(x)
+    if texts:
+        yield start, len(texts)
+
+
 def marked(text: str | None) -> str:
-    return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
+    return SPACE + remarked(text) if text else ""
+
+
+def remarked(text: str) -> str:
+    return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
 def unmarked(text: str) -> bytes:
@@ -151,25 +282,50 @@ def ends(chunk: str) -> tuple[int, int]:
             return first.start(), last
 
 
-def matrix(v: Vocabulary, chunk: str, ahead: str) -> np.ndarray:
-    """Transfer matrix (states, states): entered in state i, left to the next chunk in state j; the text's end is state 0."""
-    k = v.longest
-    out = np.full((k, k), NONE, np.int64)
+@dataclass(frozen=True)
+class Part:
+    """A chunk by its ends: `head` is its first unit, `tail` its last one and what follows; if one unit fills it, `head` is the
+    chunk and what follows, `tail` is None. `stop`: characters of the last of them that are the chunk's own."""
+
+    head: str
+    middle: str
+    tail: str | None
+    stop: int
+
+
+def part_of(chunk: str, ahead: str) -> Part:
     u0, u1 = ends(chunk)
-    whole = chunk + ahead
-    if not u0:
-        for i in range(min(k, len(chunk) + 1)):
-            best, _ = v.paths(whole, i, len(chunk))
-            tail = best[len(chunk) : len(chunk) + k]
-            out[i, : len(tail)] = tail
-        return out
-    tail, _ = v.paths(whole[u1:], 0, len(chunk) - u1)
-    tail = np.array(tail[len(chunk) - u1 :][:k], np.int64)
-    middle = v.encode(chunk[u0:u1])[1]
-    for i in range(min(k, u0 + 1)):
-        head = v.paths(chunk[:u0], i, u0)[0][u0] if i < u0 else 0
-        out[i, : len(tail)] = np.maximum(NONE, head + middle + tail) if head > NONE else NONE
-    out[out < NONE // 2] = NONE
+    return Part(chunk[:u0], chunk[u0:u1], chunk[u1:] + ahead, len(chunk) - u1) if u0 else Part(chunk + ahead, "", None, len(chunk))
+
+
+def matrices(v: Vocabulary, parts: list[Part], middles: np.ndarray) -> np.ndarray:
+    """Transfer matrices (parts, states, states): entered in state i, left to the next chunk in state j; the text's end is
+    state 0. middles: scores of the middles."""
+    k = v.longest
+    out = np.full((len(parts), k, k), NONE, np.int64)
+    heads = [p.head for p in parts]
+    stops = np.array([len(p.head) if p.tail is not None else p.stop for p in parts], np.int64)
+    for a, b in runs(heads, BLOCK // 4):
+        lat = v.lattice(heads[a:b], stops[a:b])
+        best = v.all_entries(lat)
+        for i, at, stop, size in zip(range(a, b), lat.starts, stops[a:b], lat.sizes, strict=True):
+            if parts[i].tail is None:
+                n = min(k, size - stop + 1)
+                out[i, :, :n] = best[at + stop : at + stop + n].T
+            else:
+                out[i, :, 0] = best[at + stop]
+    cut = [i for i, p in enumerate(parts) if p.tail is not None]
+    tails = [parts[i].tail for i in cut]
+    for a, b in runs(tails, BLOCK):
+        stops = np.array([parts[i].stop for i in cut[a:b]], np.int64)
+        lat = v.lattice(tails[a:b], stops)
+        best, _ = v.paths(lat, np.zeros(b - a, np.int64))
+        for i, at, stop, size in zip(cut[a:b], lat.starts, stops, lat.sizes, strict=True):
+            n = min(k, size - stop + 1)
+            leave = np.full(k, NONE, np.int64)
+            leave[:n] = best[at + stop : at + stop + n]
+            m = out[i, :, :1] + middles[i] + leave
+            out[i] = np.where((out[i, :, :1] == NONE) | (leave == NONE), NONE, m)
     return out
 
 
@@ -194,21 +350,24 @@ def chain(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return states[::-1]
 
 
-def traced(v: Vocabulary, chunk: str, ahead: str, entry: int, leave: int) -> tuple[list[int], int]:
-    """Ids and score of the pieces that start in the chunk, between its two states."""
-    whole, stop = chunk + ahead, len(chunk) + leave
-    u0, u1 = ends(chunk)
-    if not u0:
-        best, last = v.paths(whole, entry, len(chunk))
-        return list(v.trace(last, entry, stop)), best[stop]
-    best, last = v.paths(chunk[:u0], entry, u0)
-    middle, score = v.encode(chunk[u0:u1])
-    tail, tail_last = v.paths(whole[u1:], 0, len(chunk) - u1)
-    ids = [*v.trace(last, entry, u0), *middle, *v.trace(tail_last, 0, stop - u1)]
-    return ids, best[u0] + score + tail[stop - u1]
+def traced(v: Vocabulary, parts: list[Part], entries: list[int], leaves: list[int]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each part, between its two states: ids before its middle, ids after it, and both scores together."""
+    heads = [p.head for p in parts]
+    entry, leave = np.array(entries, np.int64), np.array(leaves, np.int64)
+    stops = np.array([len(p.head) if p.tail is not None else p.stop for p in parts], np.int64)
+    goals = np.array([len(p.head) if p.tail is not None else p.stop + j for p, j in zip(parts, leaves, strict=True)], np.int64)
+    ids, n, score = v.solve(heads, entry, goals, stops)
+    before = np.split(ids, np.cumsum(n)[:-1])
+    cut = [i for i, p in enumerate(parts) if p.tail is not None]
+    stops = np.array([parts[i].stop for i in cut], np.int64)
+    ids, n, more = v.solve([parts[i].tail for i in cut], np.zeros(len(cut), np.int64), stops + leave[cut], stops)
+    after = dict(zip(cut, np.split(ids, np.cumsum(n)[:-1]), strict=True)) if cut else {}
+    score[cut] += more
+    return [(b, after.get(i, np.empty(0, np.int32)), int(s)) for i, (b, s) in enumerate(zip(before, score, strict=True))]
 
 
 _OUT = "doc_id long, row long, chunk long, ids array<int>, score long, lossless boolean"
+_PARTS = "doc_id long, row long, chunk long, groups long, g long, m array<long>, head string, tail string, stop int, ids array<int>, score long, lossless boolean"
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
@@ -222,30 +381,37 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for part in pieces(frames, "text", 1_000_000):
-            rows = []
-            for doc_id, row, text in zip(part["doc_id"], part["row"], part["text"], strict=True):
-                ids, score = v.encode(marked(text))
-                rows.append((doc_id, row, 0, np.array(ids, np.int32), score, v.decode(ids)[1:] == (text or "").encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "ids", "score", "lossless"])
+        for part in pieces(frames, "text", BATCH):
+            ids, scores = v.encode([marked(t) for t in part["text"]])
+            same = [v.decode(i)[1:] == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(ids, part["text"], strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "chunk": 0, "ids": ids, "score": scores, "lossless": same})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = vocabulary(model).longest - 1
-        for part in pieces(frames, "text", 1_000_000):
-            rows = []
+        v = vocabulary(model)
+        k = v.longest - 1
+
+        def out(rows: list[tuple], parts: list[Part]) -> pd.DataFrame:
+            ids, scores = v.encode([p.middle for p in parts])
+            m = matrices(v, parts, scores)
+            own = pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "groups"])
+            return own.assign(
+                g=own["chunk"] // group, m=[x.ravel() for x in m], head=[unmarked(p.head).decode() for p in parts], tail=[None if p.tail is None else unmarked(p.tail).decode() for p in parts],
+                stop=[p.stop for p in parts], ids=ids, score=scores, lossless=[v.decode(i) == unmarked(p.middle) for i, p in zip(ids, parts, strict=True)],
+            )
+
+        rows, parts = [], []
+        for part in pieces(frames, "text", BATCH):
             for doc_id, row, text in zip(part["doc_id"], part["row"], part["text"], strict=True):
                 whole = marked(text)
                 n = -(-len(whole) // chunk)
-                rows += [(doc_id, row, c, n, *(unmarked(x).decode() for x in (whole[c * chunk : (c + 1) * chunk], whole[(c + 1) * chunk : (c + 1) * chunk + k]))) for c in range(n)]
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "chunks", "body", "ahead"])
-
-    remark = lambda x: x.replace(SPACE, LITERAL).replace(" ", SPACE)
-
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(model)
-        for frame in frames:
-            m = [matrix(v, remark(a), remark(b)).ravel() for a, b in zip(frame["body"], frame["ahead"], strict=True)]
-            yield frame[["row", "chunk"]].assign(g=frame["chunk"] // group, m=m)
+                for c in range(n):
+                    rows.append((doc_id, row, c, -(-n // group)))
+                    parts.append(part_of(whole[c * chunk : (c + 1) * chunk], whole[(c + 1) * chunk : (c + 1) * chunk + k]))
+                    if len(parts) * chunk >= BATCH:
+                        yield out(rows, parts)
+                        rows, parts = [], []
+        if parts:
+            yield out(rows, parts)
 
     square = lambda m: [np.asarray(x, np.int64).reshape(vocabulary(model).longest, -1) for x in m]
 
@@ -269,22 +435,31 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in frames:
-            rows = []
-            for doc_id, row, c, body, ahead, entry, leave in frame[["doc_id", "row", "chunk", "body", "ahead", "entry", "leave"]].itertuples(index=False):
-                a, b = remark(body), remark(ahead)
-                ids, score = traced(v, a, b, entry, leave)
-                rows.append((doc_id, row, c, np.array(ids, np.int32), score, v.decode(ids) == unmarked(a[entry:] + b[:leave])))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "ids", "score", "lossless"])
+        for frame in pieces(frames, "head", BATCH):
+            parts = [Part(remarked(h), "", None if t is None else remarked(t), s) for h, t, s in zip(frame["head"], frame["tail"], frame["stop"], strict=True)]
+            ids, scores, same = [], [], []
+            entries, leaves = frame["entry"].tolist(), frame["leave"].tolist()
+            for p, i, j, (before, after, s), middle, score, ok in zip(parts, entries, leaves, traced(v, parts, entries, leaves), frame["ids"], frame["score"], frame["lossless"], strict=True):
+                if p.tail is None:
+                    ok = ok and v.decode(before) == unmarked(p.head[i : p.stop + j])
+                else:
+                    ok = ok and v.decode(before) == unmarked(p.head[i:]) and v.decode(after) == unmarked(p.tail[: p.stop + j])
+                ids.append(np.concatenate((before, middle, after)).astype(np.int32))
+                scores.append(s + score)
+                same.append(ok)
+            yield frame[["doc_id", "row", "chunk"]].assign(ids=ids, score=scores, lossless=same)
 
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
     one = numbered.where(~long_ | F.col("text").isNull()).withColumn("row", -1 - F.col("row")).mapInPandas(short, _OUT)
-    chunks = written(numbered.where(long_).mapInPandas(cut, "doc_id long, row long, chunk long, chunks long, body string, ahead string"), "chunks")
-    moves = written(chunks.select("row", "chunk", "body", "ahead").mapInPandas(matrices, "row long, chunk long, g long, m array<long>"), "moves")
-    by_group = moves.groupBy("row", "g").applyInPandas(products, "row long, g long, m array<long>")
+    parts = written(numbered.where(long_).mapInPandas(cut, _PARTS), "parts")
+    moves = parts.select("row", "chunk", "groups", "g", "m")
+    # a text of one group is entered and left in state 0
+    several = moves.where("groups > 1")
+    by_group = several.groupBy("row", "g").applyInPandas(products, "row long, g long, m array<long>")
     states = by_group.groupBy("row").applyInPandas(of_groups, "row long, g long, entry int, leave int")
-    bounds = moves.join(states, ["row", "g"]).groupBy("row", "g").applyInPandas(of_chunks, "row long, chunk long, entry int, leave int")
-    return one.unionByName(chunks.join(bounds, ["row", "chunk"]).mapInPandas(trace, _OUT))
+    placed = several.join(states, ["row", "g"]).unionByName(moves.where("groups = 1").withColumns({"entry": F.lit(0), "leave": F.lit(0)}))
+    bounds = placed.groupBy("row", "g").applyInPandas(of_chunks, "row long, chunk long, entry int, leave int")
+    return one.unionByName(parts.drop("m", "g", "groups").join(bounds, ["row", "chunk"]).mapInPandas(trace, _OUT))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
