@@ -1,34 +1,73 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from zonata.llm import suffixtree as S
 from zonata.llm.shared import hashed_part
 
 
-def test_base_and_scores(spark, docs, unique):
+def toks(t):
+    return [*(t or "").encode().lower().split(), b"\n"]
+
+
+class Plain:
+    """The tree by dictionaries: counts after every context, kept contexts, probabilities by recursion."""
+
+    def __init__(self, words):
+        self.c = defaultdict(Counter)
+        for w, times in words.items():
+            for ctx, s in self.symbols(w):
+                for d in range(S.DEPTH + 1):
+                    self.c[ctx[len(ctx) - d :]][s] += times
+        self.kept = {x for x, c in self.c.items() if len(x) <= S.SHORT and sum(c.values()) >= S.LEAST}
+        for x, c in self.c.items():
+            up, n = self.c[x[1:]], sum(c.values())
+            if len(x) > S.SHORT and n >= S.LEAST and len(up) > 1:
+                gain = sum(k * math.log(k / n / (up[s] / sum(up.values()))) for s, k in c.items())
+                if 2 * gain >= len(up) - 1 + S.DEVIATIONS * math.sqrt(2 * (len(up) - 1)):
+                    self.kept |= {x[i:] for i in range(len(x) - S.SHORT)}
+
+    @staticmethod
+    def symbols(w):
+        all_ = b" " * S.DEPTH + (w if w == S.END else w + b" ")
+        return [(all_[i - S.DEPTH : i], all_[i]) for i in range(S.DEPTH, len(all_))]
+
+    def p(self, ctx, s):
+        if not ctx:
+            return (self.c[b""][s] + 0.5) / (sum(self.c[b""].values()) + 128)
+        up = self.p(ctx[1:], s)
+        return (self.c[ctx][s] + S.MU * up) / (sum(self.c[ctx].values()) + S.MU) if ctx in self.kept else up
+
+    def score(self, text):
+        return sum(math.log10(self.p(ctx, s)) for w in toks(text) for ctx, s in self.symbols(w))
+
+
+@pytest.mark.parametrize("usual", [(S.USUAL, S.FREQUENT), (1e-2, 1e-2)])
+def test_scores_equal_a_tree_of_dictionaries(spark, docs, unique, monkeypatch, usual):
+    """Also with rare grams and words by joins, and subtrees over several blocks."""
+    monkeypatch.setattr(S, "USUAL", usual[0])
+    monkeypatch.setattr(S, "FREQUENT", usual[1])
+    monkeypatch.setattr(S, "BLOCK", 300)
     held = hashed_part("doc_id", 10) == 0
-    got = {r["doc_id"]: r for r in S.score(spark, docs, docs.where(~held)).collect()}
-    toks = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    got = {r["doc_id"]: r for r in S.score(spark, docs, ~held).collect()}
     c = Counter(w for d, t, *_ in unique if zlib.crc32(str(d).encode()) % 10 for w in toks(t))
-    n, v = sum(c.values()), len(c)
+    n, v, plain = sum(c.values()), len(c), Plain(c)
+    assert any(len(x) > S.SHORT + 1 for x in plain.kept)
     for d, t, *_ in unique:
         r = got[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(toks(t)), sum(c[w] > 0 for w in toks(t)), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(t)), rel_tol=1e-9)
-        assert r["score"] < 0
+        assert math.isclose(r["score"], plain.score(t), rel_tol=1e-9)
 
 
-def test_distributions_sum_to_one(spark, docs):
-    tree = S.fit(docs)
-    rng = np.random.default_rng(0)
-    seen = tree.entries[S.DEPTH].keys
-    contexts = [0, *(int(k) >> 8 for k in rng.permutation(seen[seen >= 0])[:20]), *map(int, rng.integers(0, 1 << 40, 10))]
-    for ctx in contexts:
-        p = 10 ** tree.score((ctx << 8 | np.arange(256)).astype(np.int64))
-        assert abs(p.sum() - 1) < 1e-4
+def test_distributions_sum_to_one(unique):
+    plain = Plain(Counter(w for _, t, *_ in unique for w in toks(t)))
+    for ctx in (b" " * S.DEPTH, b" " * (S.DEPTH - 2) + b"al", b"unheard"):
+        assert math.isclose(sum(plain.p(ctx, s) for s in range(256)), 1)
 
 
 def test_table():
@@ -41,24 +80,19 @@ def test_table():
 
 
 def test_edges(spark, docs_repeated, none, data, docs):
-    assert S.score(spark, none, none).count() == 0
-    assert S.score(spark, docs_repeated, docs_repeated).count() == len(data)
-    assert {r["base_score"] for r in S.score(spark, docs.where("text is null"), none).collect()} == {0.0}
-
-
-def test_scores_by_tables_equal_the_tree_in_memory(spark, docs, unique, monkeypatch):
-    train = docs.where("doc_id % 3 > 0")
-    tree = S.fit(train)
-    for usual in (S.USUAL, 1e-3):  # with rare grams by a join
-        monkeypatch.setattr(S, "USUAL", usual)
-        got = {r["doc_id"]: r["score"] for r in S.score(spark, docs, train).collect()}
-        for d, t, *_ in unique:
-            codes, starts, sizes = S.stream([S.tokens(t)])
-            assert math.isclose(got[d], tree.score(codes[S._spans(starts, sizes)]).sum(), rel_tol=1e-5)
-
-
-def test_a_clear_context_stays_however_much_text_is_added(spark):
-    rare, common = "qzxwjv" * 8, "the cat sat on the mat and ran off " * 3000
-    small = spark.createDataFrame([(rare,)] + [(common,)] * 2, "text string")
-    large = spark.createDataFrame([(rare,)] + [(common,)] * 400, "text string")
-    assert all(S.fit(x).backs[1].get(np.array([ord("z")]))[0].all() for x in (small, large))
+    assert S.score(spark, none, F.lit(True)).count() == 0
+    got = S.score(spark, docs_repeated, F.lit(True)).collect()
+    assert len(got) == len(data) and {r["n_tokens"] for r in got if r["doc_id"] == 4} == {len(toks(data[4][1]))}
+    alone = S.score(spark, docs.where("text is null"), F.lit(False)).collect()
+    assert {r["base_score"] for r in alone} == {0.0} and all(math.isclose(r["score"], math.log10(1 / 256), rel_tol=1e-9) for r in alone)
+
+
+def test_the_tree_grows_with_the_input(spark):
+    """A clear context stays however much other text is added."""
+    rare, common = b"qzxwjv", {b"the": 1000, b"cat": 500, b"sat": 400, b"mat": 300, b"quit": 200}
+    for times in (1, 400):
+        plain = Plain(Counter({rare: 8} | {w: n * times for w, n in common.items()}))
+        assert b"qzx" in plain.kept
+        words = spark.createDataFrame([(bytearray(rare), 8)] + [(bytearray(w), n * times) for w, n in common.items()], "word binary, n long")
+        got = {bytes(r["word"]): r["lp"] for r in S.scored_words(spark, words).collect()}
+        assert all(math.isclose(got[w], sum(math.log10(plain.p(c, s)) for c, s in plain.symbols(w)), rel_tol=1e-9) for w in got)

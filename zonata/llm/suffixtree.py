@@ -1,15 +1,21 @@
-"""Language-model scoring by a probabilistic suffix tree over bytes, beside a smoothed unigram base over words.
-
-A text is its lower-cased (ASCII) words joined by spaces and one end symbol. From all training texts, symbol counts after every
-context of up to DEPTH bytes are gathered. A context stays if it occurs LEAST times and if a likelihood-ratio test tells its
-next-symbol distribution from that of its suffix (neither scales with the corpus, so the tree grows with the input); all suffixes
-of a kept context are kept, with all their entries. Distributions are smoothed towards the suffix's. The score of a text adds the
-log probability of each symbol after the longest kept suffix of what stands before it. The tree is a written table a depth. The
-different (DEPTH + 1)-grams of the texts get their log probabilities by joins, level by level; those of frequent grams are then
-looked up in a broadcast table and those of all others joined to the texts.
-
-Defined results: null and empty texts are the end symbol alone. With no training rows counts are 0 and the tree is a uniform
-root. Repeated rows get a row each. Other columns are not looked at.
+"""Language-model scoring by a probabilistic suffix tree over the bytes of words, beside a smoothed unigram base over words.
+
+A text is its lower-cased (ASCII) words and one end. A word's symbols are its bytes and a space; the end's only symbol is END.
+Each symbol is told from the bytes before it in its word, after a space that stands for the word's start, so a text's log
+probability is the sum of its words' and each different word is scored once. Symbol counts after every context of up to DEPTH
+bytes are gathered from the words of all training texts. Contexts of up to SHORT bytes that occur LEAST times stay; longer ones
+stay if they occur LEAST times and if a likelihood-ratio test tells their next-symbol distribution from that of their suffix
+(neither scales with the corpus, so the tree grows with the input); all suffixes of a kept context are kept. Distributions are
+smoothed towards the suffix's, and each symbol is scored after the longest kept suffix of what stands before it.
+
+Contexts that end in the same TOGETHER bytes make a subtree of their own but for its shortest contexts. Rows of (context, symbol)
+are dealt out and sorted by the reversed context, so a task grows and applies whole subtrees at once; the counts after contexts
+of up to SHORT bytes, of which there are at most 256 ** (SHORT + 1), are broadcast. A subtree's size is bounded by the bytes that
+are left free, 256 ** (DEPTH - TOGETHER + 1) at most, not by the input. Probabilities of frequent grams and the scores of frequent
+words are looked up in broadcast tables of bounded size, those of all others are joined.
+
+Defined results: null and empty texts are the end alone. With no training rows counts are 0 and the tree is a uniform root.
+Repeated rows get a row each. Other columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,88 +23,183 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, hashed_part, pieces, shared_dir, written
 
-DEPTH, END = 6, b"\n"
+#: Bytes of the longest context, of the contexts that every task has, and by which subtrees are dealt out.
+DEPTH, SHORT, TOGETHER, END = 7, 2, 3, b"\n"
 #: Least count of a context; standard deviations by which 2 * gain must be over its mean (the degrees of freedom) under no divergence.
 LEAST, DEVIATIONS = 4, 3.0
-#: Grams of at least this share of all symbols (so 1 / USUAL at most) are looked up in a broadcast table, others by a join.
-USUAL = 2.5e-7
-#: Weight of the suffix's distribution, in counts.
-MU = 4.0
-#: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are looked up in a broadcast table, others by a join.
+#: Weight of the suffix's distribution, in counts; counts that each symbol has in the root beforehand.
+MU, _ROOT = 4.0, 0.5
+#: Grams of at least this share of all symbols of the different words (so 1 / USUAL at most) are broadcast, others joined.
+USUAL = 1e-6
+#: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
-_ROOT = 0.5
+#: Rows that a task takes at once, but for the rest of the last subtree.
+BLOCK = 500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(DEPTH + 1)-grams of all symbols of the texts, each text's first symbols after DEPTH ends; its starts; its lengths."""
-    bodies = [b" ".join(t) + END for t in texts]
-    b = np.frombuffer(END * DEPTH + (END * DEPTH).join(bodies), np.uint8)
-    codes = np.zeros(len(b) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        codes = (codes << 8) | b[k : len(b) - DEPTH + k]
-    sizes = np.array([len(x) for x in bodies])
-    starts = np.concatenate(([0], np.cumsum(sizes + DEPTH)[:-1]))
-    return codes, starts, sizes
+def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: Counter[bytes] = Counter()
+    seen: set[bytes] = set()
+
+    def out() -> pd.DataFrame:
+        words = [*counts, *seen.difference(counts)]
+        return pd.DataFrame({"word": words, "n": [*counts.values(), *[0] * (len(words) - len(counts))]})
+
+    for part in pieces(frames, "text", 4_000_000):
+        for t, learn in zip(part["text"], part["learn"], strict=True):
+            (counts if learn else seen).update(tokens(t))
+        counts[END] += int(part["learn"].sum())
+        if len(counts) + len(seen) > 500_000:
+            yield out()
+            counts.clear()
+            seen.clear()
+    if counts or seen:
+        yield out()
+
+
+def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """word (binary; END for the end) of all texts, n: occurrences in the texts to learn from."""
+    rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    return rows.mapInPandas(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of starts[i] .. starts[i] + sizes[i], one after another."""
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return np.arange(sizes.sum()) + np.repeat(starts - first, sizes)
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each symbol of the words, and the number of symbols of each word. A code holds the DEPTH bytes before the
+    symbol, the last one first, and the symbol; spaces stand before a word's start."""
+    pad = b" " * DEPTH
+    b = np.frombuffer(b"".join(pad + (w if w == END else w + b" ") for w in words), np.uint8)
+    sizes = np.fromiter((1 if w == END else len(w) + 1 for w in words), np.int64, len(words))
+    first = np.cumsum(sizes + DEPTH) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    codes = b[at].astype(np.uint64)
+    for k in range(DEPTH):
+        codes |= b[at - 1 - k].astype(np.uint64) << np.uint64(8 * (DEPTH - k))
+    return codes.view(np.int64), sizes
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames cut into blocks of about a million bytes of words."""
+    for frame in frames:
+        for at in range(0, len(frame), 50_000):
+            yield from pieces(iter([frame.iloc[at : at + 50_000]]), "word", 1_000_000)
+
+
+def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different codes in order, and the sums of their counts."""
+    if not len(codes):
+        return codes, *counts
     order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], n[order]
+    codes = codes[order]
     at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[at], np.add.reduceat(n, at)
+    return codes[at], *(np.add.reduceat(c[order], at) for c in counts)
 
 
-def _grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    out = lambda p: pd.DataFrame({"gram": p[0], "n": p[1]})
-    for part in pieces(frames, "text", 4_000_000):
-        codes, starts, sizes = stream([tokens(t) for t in part["text"]])
-        got = np.unique(codes[_spans(starts, sizes)], return_counts=True)
-        parts.append(got)
-        if sum(len(p[0]) for p in parts) > 3_000_000:
-            parts = [_merged(parts)]
-            if len(parts[0][0]) > 2_000_000:
-                yield out(parts.pop())
-    if parts:
-        yield out(_merged(parts))
+def _gathered(frames: Iterator[pd.DataFrame], short: bool) -> Iterator[pd.DataFrame]:
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in blocks(frames):
+        codes, sizes = grams(part["word"].tolist())
+        if short:
+            codes = (codes >> 8 * (DEPTH - SHORT) + 8 << 8) | (codes & 255)
+        held.append(summed(codes, np.ones(len(codes), np.int64), np.repeat(part["n"].to_numpy(), sizes)))
+        if sum(len(h[0]) for h in held) > 3_000_000:
+            held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+            if len(held[0][0]) > 1_500_000:
+                yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
+    if held:
+        yield pd.DataFrame(dict(zip(("gram", "u", "n"), summed(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
 
 
-def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter[bytes] = Counter()
-    out = lambda: pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
-    for part in pieces(frames, "text", 4_000_000):
-        for t in part["text"]:
-            total.update(tokens(t))
-        total[END] += len(part)
-        if len(total) > 500_000:
-            yield out()
-            total.clear()
-    if total:
-        yield out()
+def gram_counts(words: DataFrame, short: bool = False) -> DataFrame:
+    """gram, u (occurrences in the different words), n (in all training texts), summed by task alone; short: SHORT bytes before
+    the symbol."""
+    return words.select("word", "n").mapInPandas(lambda frames: _gathered(frames, short), "gram long, u long, n long")
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word (binary; END for the end), n."""
-    return train.select("text").mapInPandas(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+@dataclass(frozen=True)
+class Base:
+    """The tree down to SHORT bytes: counts by context and by gram, and the probabilities of all symbols by context."""
+
+    contexts: np.ndarray  # of SHORT bytes, in order
+    sums: np.ndarray
+    kinds: np.ndarray
+    grams: np.ndarray  # context and symbol, in order
+    counts: np.ndarray
+    after: np.ndarray  # (contexts, 256)
+    shorter: np.ndarray  # (256, 256): after one byte
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Base:
+        keys, counts = summed(keys[counts > 0], counts[counts > 0])
+        symbol, last = keys & 255, keys >> 16 & 255
+        root = np.bincount(symbol, counts, 256) + _ROOT
+        root /= root.sum()
+        one = np.bincount(last << 8 | symbol, counts, 1 << 16).reshape(256, 256)
+        n = one.sum(1, keepdims=True)
+        shorter = np.where(n >= LEAST, (one + MU * root) / (n + MU), root)
+        contexts, at, inverse, kinds = np.unique(keys >> 8, return_index=True, return_inverse=True, return_counts=True)
+        sums = np.add.reduceat(counts, at) if len(at) else counts
+        two = np.zeros((len(contexts), 256))
+        two[inverse, symbol] = counts
+        up = shorter[contexts >> 8 & 255]
+        return cls(contexts, sums, kinds, keys, counts, np.where(sums[:, None] >= LEAST, (two + MU * up) / (sums[:, None] + MU), up), shorter)
+
+    def probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        out = self.shorter[contexts >> 8 & 255, symbols]
+        if len(self.contexts):
+            at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+            there = self.contexts[at] == contexts
+            out[there] = self.after[at[there], symbols[there]]
+        return out
+
+
+def levels(codes: np.ndarray, n: np.ndarray, base: Base) -> np.ndarray:
+    """The probability of each gram's symbol after the longest kept suffix of its context; codes: different, in order, whole
+    subtrees; n: their counts in the training texts."""
+    symbol, short = codes & 255, codes >> 8 * (DEPTH - SHORT) + 8
+    if not len(codes):
+        return np.empty(0)
+    found = []
+    for d in range(SHORT + 1, DEPTH + 1):
+        ctx = codes >> 8 * (DEPTH - d) + 8
+        start = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(codes))))
+        key, first, entry = np.unique(run << 8 | symbol, return_index=True, return_inverse=True)
+        count = np.bincount(entry, n, len(key))
+        sums = np.add.reduceat(n, start).astype(float)
+        kinds = np.bincount(key >> 8, count > 0, len(start))
+        if d == SHORT + 1:
+            at = np.searchsorted(base.grams, short[first] << 8 | symbol[first])
+            up = np.where(count > 0, base.counts[np.minimum(at, len(base.counts) - 1)], 0) if len(base.counts) else count
+            at = np.minimum(np.searchsorted(base.contexts, short[start]), max(0, len(base.contexts) - 1))
+            sums_up, df = (base.sums[at], base.kinds[at] - 1.0) if len(base.contexts) else (sums, -1.0 + 0 * sums)
+        else:
+            run_up, _, entry_up, count_up, above, kinds_up, _ = found[-1]
+            up, sums_up, df = count_up[entry_up[first]], above[run_up[start]], kinds_up[run_up[start]] - 1.0
+        here = count > 0
+        gain = np.bincount(key[here] >> 8, count[here] * np.log(count[here] / up[here]), len(start)).astype(float)
+        often = sums >= LEAST
+        gain[often] += sums[often] * np.log(sums_up[often] / sums[often])
+        keep = often & (df > 0) & (2 * gain >= df + DEVIATIONS * np.sqrt(2 * np.maximum(df, 0)))
+        found.append((run, start, entry, count, sums, kinds, keep))
+    for (run_up, *_, keep_up), (_, start, *_, keep) in zip(found[-2::-1], found[:0:-1], strict=True):
+        np.logical_or.at(keep_up, run_up[start], keep)
+    p = base.probabilities(short, symbol)
+    for run, _, entry, count, sums, _, keep in found:
+        p = np.where(keep[run], (count[entry] + MU * p) / (sums[run] + MU), p)
+    return p
 
 
 @dataclass(frozen=True)
@@ -115,7 +216,7 @@ class Table:
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
         bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
-        held, out = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        held, out = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float64)
         left, at = np.arange(len(keys)), cls._slot(keys, bits)
         while len(left):
             free = held[at[left]] == -1
@@ -142,162 +243,105 @@ class Table:
         return there, values
 
 
-@dataclass(frozen=True)
-class Tree:
-    """entries[d]: context of d bytes and next symbol to log10 probability; backs[d]: kept context to the log10 weight of its suffix."""
-
-    entries: tuple[Table, ...]
-    backs: tuple[Table, ...]
-    floor: float
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(codes)), None
-        for d in range(DEPTH, -1, -1):
-            own = (codes if left is None else codes[left]) & ((1 << 8 * (d + 1)) - 1)
-            there, value = self.entries[d].get(own)
-            if left is None:
-                out, left = value.astype(np.float64), np.flatnonzero(~there)
-            else:
-                out[left] += value
-                left = left[~there]
-            if d and len(left):
-                out[left] += self.backs[d].get((codes[left] & ((1 << 8 * (d + 1)) - 1)) >> 8)[1]
-        out[left] += self.floor
-        return out
+def base_of(words: DataFrame) -> Base:
+    short = gram_counts(words, short=True).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return Base.of(short["gram"].to_numpy(), short["n"].to_numpy())
 
 
-def gram_counts(texts: DataFrame, name: str) -> DataFrame:
-    return written(texts.select("text").mapInPandas(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")), name)
+def probabilities(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """gram, u, lp: the log10 probability of each gram of the words by the tree that their counts grow."""
+    base = spark.sparkContext.broadcast(base_of(words))
 
+    def grown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
 
-def _last(gram: str, d: int):
-    """The last d bytes of a gram."""
-    return F.col(gram).bitwiseAND(F.lit((1 << 8 * d) - 1))
+        def out(codes: np.ndarray, u: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"gram": codes, "u": u, "lp": np.log10(levels(codes, n, base.value))})
 
+        for frame in frames:
+            held.append((frame["gram"].to_numpy(), frame["u"].to_numpy(), frame["n"].to_numpy()))
+            if sum(len(h[0]) for h in held) >= BLOCK:
+                codes, u, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+                tree = codes >> 8 * (DEPTH - TOGETHER) + 8
+                cut = int(np.searchsorted(tree, tree[-1]))  # the last subtree may go on
+                held = [(codes[cut:], u[cut:], n[cut:])]
+                if cut:
+                    yield out(codes[:cut], u[:cut], n[:cut])
+        if held:
+            yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
 
-@dataclass(frozen=True)
-class Tables:
-    """levels[d]: gram (d bytes and the next symbol), p; backs[d]: ctx (a kept context), weight of its suffix; d = 0 has none."""
-
-    levels: tuple[DataFrame, ...]
-    backs: tuple[DataFrame | None, ...]
-    floor: float
-
-
-def grow(train: DataFrame) -> Tables:
-    """The tree as written tables; the driver sees the number of all symbols alone."""
-    counts = [gram_counts(train, "grams")]
-    for d in range(DEPTH - 1, -1, -1):
-        counts.insert(0, written(counts[0].groupBy(_last("gram", d + 1).alias("gram")).agg(F.sum("c").alias("c")), "grams"))
-    total = counts[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    nodes = [written(g.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")), "contexts") for g in counts]
-    kept: list[DataFrame | None] = [None] * (DEPTH + 1)
-    for d in range(DEPTH, 0, -1):
-        own = counts[d].withColumn("ctx", F.shiftright("gram", 8)).join(nodes[d].where(F.col("n") >= LEAST).select("ctx", "n"), "ctx")
-        up = counts[d - 1].select(F.col("gram").alias("up"), F.col("c").alias("c_up"))
-        gain = own.withColumn("up", _last("gram", d)).join(up, "up")
-        # sum of c log((c / n) / (c_up / n_up)), of which log(n_up / n) is the context's own
-        gain = gain.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("c_up"))).alias("g"), F.first("n").alias("n")).withColumn("ctx_up", _last("ctx", d - 1))
-        tested = gain.join(nodes[d - 1].select(F.col("ctx").alias("ctx_up"), F.col("n").alias("n_up"), (F.col("k") - 1).alias("df")), "ctx_up")
-        twice = 2 * (F.col("g") + F.col("n") * F.log(F.col("n_up") / F.col("n")))
-        stays = tested.where((F.col("df") > 0) & (twice >= F.col("df") + DEVIATIONS * F.sqrt(2 * F.col("df")))).select("ctx")
-        if d < DEPTH:
-            stays = stays.union(kept[d + 1].select(_last("ctx", d).alias("ctx"))).distinct()
-        kept[d] = written(stays.join(nodes[d].select("ctx", "n"), "ctx"), "kept")
-    levels = [written(counts[0].select("gram", ((F.col("c") + _ROOT) / F.lit(total + 256 * _ROOT)).alias("p")), "entries")]
-    for d in range(1, DEPTH + 1):
-        own = counts[d].withColumn("ctx", F.shiftright("gram", 8)).join(kept[d], "ctx").withColumn("up", _last("gram", d))
-        # the suffix of a gram after a kept context is an entry after the context's kept suffix
-        p = (F.col("c") + MU * F.col("p")) / (F.col("n") + MU)
-        levels.append(written(own.join(levels[-1].withColumnRenamed("gram", "up"), "up").select("gram", p.alias("p")), "entries"))
-    backs = [None if k is None else k.select("ctx", (F.lit(MU) / (F.col("n") + MU)).alias("weight")) for k in kept]
-    return Tables(tuple(levels), tuple(backs), _ROOT / (total + 256 * _ROOT))
-
-
-def fit(train: DataFrame) -> Tree:
-    """The whole tree in memory, for few texts; `score` keeps it in tables."""
-    t = grow(train)
-
-    def held(df: DataFrame) -> Table:
-        a = df.toArrow()
-        return Table.of(a.column(0).to_numpy(), np.log10(a.column(1).to_numpy()))
-
-    backs = (Table.of(np.empty(0, np.int64), np.empty(0)), *(held(b) for b in t.backs[1:]))
-    return Tree(tuple(map(held, t.levels)), backs, float(np.log10(t.floor)))
-
-
-def looked_up(grams: DataFrame, t: Tables) -> DataFrame:
-    """gram, c, lp: the log10 probability of the gram's last symbol after the others, by a join with each level."""
-    left, done = grams.select("gram", "c", F.lit(0.0).alias("lp")), []
-    for d in range(DEPTH, -1, -1):
-        own = left.withColumn("own", _last("gram", d + 1)).join(t.levels[d].withColumnRenamed("gram", "own"), "own", "left")
-        if d:
-            own = own.withColumn("ctx", F.shiftright("own", 8)).join(t.backs[d], "ctx", "left")
-            own = written(own.select("gram", "c", "lp", "p", "weight"), "level")
-            left = own.where("p is null").select("gram", "c", (F.col("lp") + F.coalesce(F.log10("weight"), F.lit(0.0))).alias("lp"))
-        else:
-            own = own.withColumn("p", F.coalesce("p", F.lit(t.floor)))
-        done.append(own.where("p is not null").select("gram", "c", (F.col("lp") + F.log10("p")).alias("lp")))
-    out = done[0]
-    for other in done[1:]:
-        out = out.unionByName(other)
-    return written(out, "looked-up")
+    # sums over the tasks' counts are made where the subtrees are grown: one shuffle
+    dealt = gram_counts(words).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER) + 8)).sortWithinPartitions("gram")
+    return written(dealt.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
+
+
+def scored_words(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """word, n, lp: the log10 probability of each word."""
+    told = probabilities(spark, words)
+    least = USUAL * (told.agg(F.coalesce(F.sum("u"), F.lit(0))).first()[0] or 0)
+    often = told.where(F.col("u") >= least).select("gram", "lp").toArrow()
+    sent = spark.sparkContext.broadcast(Table.of(often["gram"].to_numpy(), often["lp"].to_numpy()))
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in blocks(frames):
+            codes, sizes = grams(part["word"].tolist())
+            there, lp = sent.value.get(codes)
+            ends = np.cumsum(sizes)
+            missing = np.concatenate(([0], np.cumsum(~there)))[ends]
+            yield part.assign(lp=np.add.reduceat(lp, ends - sizes), grams=np.split(codes[~there], missing[:-1]))
+
+    first = words.select("word", "n", F.monotonically_increasing_id().alias("id")).mapInPandas(added, "word binary, n long, id long, lp double, grams array<long>")
+    first = written(first, "words-in-part")
+    rest = first.select("id", F.explode("grams").alias("gram")).join(told.where(F.col("u") < least).select("gram", F.col("lp").alias("own")), "gram")
+    rest = rest.groupBy("id").agg(F.sum("own").alias("rest"))
+    return written(first.join(rest, "id", "left").select("word", "n", (F.col("lp") + F.coalesce("rest", F.lit(0.0))).alias("lp")), "scored-words")
 
 
-def score(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; train: rows to learn from (text)."""
+def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learn: whether a row is learned from."""
     shared_dir(spark)
-    counts = written(word_counts(train), "words")
-    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    usual = counts.where(F.col("n") >= FREQUENT * n_all).select("word", "n").toArrow()
-    known_words = dict(zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True))
-    probabilities = looked_up(gram_counts(docs, "doc-grams"), grow(train))
-    n_grams = probabilities.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    often = probabilities.where(F.col("c") >= USUAL * n_grams).select("gram", "lp").toArrow()
-    sent = spark.sparkContext.broadcast((known_words, Table.of(often["gram"].to_numpy(), often["lp"].to_numpy())))
+    counts = scored_words(spark, written(word_counts(docs, learn), "words"))
+    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    frequent = (F.col("word") == F.lit(END)) | ((F.col("n") > 0) & (F.col("n") >= FREQUENT * n_all))
+    usual = counts.where(frequent).toArrow()
+    n, lp = usual["n"].to_numpy(), usual["lp"].to_numpy()
+    # the last row stands for a word that is not there
+    columns = (np.append(n > 0, False).astype(np.int64), np.append(np.log10(n + 0.1), 0.0), np.append(lp, 0.0))
+    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(usual["word"].to_pylist())}, columns))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, table = sent.value
+        number, (is_known, base, own) = sent.value
+        other = len(number)
         for part in pieces(frames, "text", 1_000_000):
-            texts = [tokens(t) for t in part["text"]]
-            codes, starts, sizes = stream(texts)
-            at = _spans(starts, sizes)
-            codes = codes[at]
-            there, values = table.get(codes)
-            first_at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            sums = np.add.reduceat(values.astype(np.float64), first_at)
-            rows = []
-            for doc_id, row, words, total, a, size in zip(part["doc_id"], part["row"], texts, sums, first_at, sizes, strict=True):
-                other, seen = np.unique(codes[a : a + size][~there[a : a + size]], return_counts=True)
-                words.append(END)
-                n = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-                usual_n = n[n > 0]
-                rare = Counter(w for w, k in zip(words, n.tolist(), strict=True) if not k) if len(usual_n) < len(n) else {}
-                rows.append((doc_id, row, len(words), len(usual_n), float(np.log10(usual_n + 0.1).sum()), float(total), list(rare.keys()), list(rare.values()), other, seen))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "n_tokens", "n_usual", "usual", "score", "rare", "times", "grams", "seen"])
-
-    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<long>"
+            texts = [[*tokens(t), END] for t in part["text"]]
+            at = [np.fromiter(map(number.get, words, repeat(other)), np.int64, len(words)) for words in texts]
+            sizes = np.array([len(a) for a in at])
+            every, starts = np.concatenate(at), np.cumsum(sizes) - sizes
+            rare = [Counter([words[i] for i in np.flatnonzero(a == other)]) for words, a in zip(texts, at, strict=True)]
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": sizes, "n_usual": np.add.reduceat(is_known[every], starts),
+                "usual": np.add.reduceat(base[every], starts), "score": np.add.reduceat(own[every], starts), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
+            })
+
+    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>"
     first = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    looked = rare.join(counts.where(F.col("n") < FREQUENT * n_all), "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    looked = looked.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")
+    looked = rare.join(counts.where(~frequent), "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare_log"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.col("lp")).alias("rare_lp"),
     )
     per = F.lit(float(np.log10(n_all + 0.1 * (v + 1))))
-    others = first.select("row", F.explode(F.arrays_zip("grams", "seen")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.seen").alias("seen"))
-    others = others.join(probabilities.where(F.col("c") < USUAL * n_grams).select("gram", "lp"), "gram")
-    others = others.groupBy("row").agg(F.sum(F.col("seen") * F.col("lp")).alias("others"))
-    return first.drop("rare", "times", "grams", "seen").join(looked, "row", "left").join(others, "row", "left").select(
+    return first.drop("rare", "times").join(looked, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_usual") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("usual") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"),
-        (F.col("score") + F.coalesce("others", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("rare_lp", F.lit(0.0))).alias("score"),
     )
 
 
 def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), hashed_part("doc_id", 10) == 0
-    out = score(spark, docs, docs.where(~held))
+    out = score(spark, docs, ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
