@@ -7,20 +7,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonata.llm import suffixtree as S
-from zonata.llm.shared import hashed_part
+from zonata.llm.shared import hashed_part, written
 
 
 def toks(t):
     return [*(t or "").encode().lower().split(), b"\n"]
 
 
+def own_units(t):
+    words = toks(t)
+    return [(words[i - 1][-S.TAIL :] if i else b"") + b" " + w for i, w in enumerate(words)]
+
+
 class Plain:
     """The tree by dictionaries: counts after every context, kept contexts, probabilities by recursion."""
 
-    def __init__(self, words):
+    def __init__(self, units):
         self.c = defaultdict(Counter)
-        for w, times in words.items():
-            for ctx, s in self.symbols(w):
+        for u, times in units.items():
+            for ctx, s in self.symbols(u):
                 for d in range(S.DEPTH + 1):
                     self.c[ctx[len(ctx) - d :]][s] += times
         self.kept = {x for x, c in self.c.items() if len(x) <= S.SHORT and sum(c.values()) >= S.LEAST}
@@ -32,9 +37,10 @@ class Plain:
                     self.kept |= {x[i:] for i in range(len(x) - S.SHORT)}
 
     @staticmethod
-    def symbols(w):
-        all_ = b" " * S.DEPTH + (w if w == S.END else w + b" ")
-        return [(all_[i - S.DEPTH : i], all_[i]) for i in range(S.DEPTH, len(all_))]
+    def symbols(unit):
+        tail, _, w = unit.partition(b" ")
+        all_ = b" " * S.DEPTH + unit + (b"" if w == S.END else b" ")
+        return [(all_[i - S.DEPTH : i], all_[i]) for i in range(S.DEPTH + len(tail) + 1, len(all_))]
 
     def p(self, ctx, s):
         if not ctx:
@@ -43,7 +49,7 @@ class Plain:
         return (self.c[ctx][s] + S.MU * up) / (sum(self.c[ctx].values()) + S.MU) if ctx in self.kept else up
 
     def score(self, text):
-        return sum(math.log10(self.p(ctx, s)) for w in toks(text) for ctx, s in self.symbols(w))
+        return sum(math.log10(self.p(ctx, s)) for u in own_units(text) for ctx, s in self.symbols(u))
 
 
 @pytest.mark.parametrize("usual", [(S.USUAL, S.FREQUENT), (1e-2, 1e-2)])
@@ -55,7 +61,8 @@ def test_scores_equal_a_tree_of_dictionaries(spark, docs, unique, monkeypatch, u
     held = hashed_part("doc_id", 10) == 0
     got = {r["doc_id"]: r for r in S.score(spark, docs, ~held).collect()}
     c = Counter(w for d, t, *_ in unique if zlib.crc32(str(d).encode()) % 10 for w in toks(t))
-    n, v, plain = sum(c.values()), len(c), Plain(c)
+    plain = Plain(Counter(u for d, t, *_ in unique if zlib.crc32(str(d).encode()) % 10 for u in own_units(t)))
+    n, v = sum(c.values()), len(c)
     assert any(len(x) > S.SHORT + 1 for x in plain.kept)
     for d, t, *_ in unique:
         r = got[d]
@@ -65,7 +72,7 @@ def test_scores_equal_a_tree_of_dictionaries(spark, docs, unique, monkeypatch, u
 
 
 def test_distributions_sum_to_one(unique):
-    plain = Plain(Counter(w for _, t, *_ in unique for w in toks(t)))
+    plain = Plain(Counter(u for _, t, *_ in unique for u in own_units(t)))
     for ctx in (b" " * S.DEPTH, b" " * (S.DEPTH - 2) + b"al", b"unheard"):
         assert math.isclose(sum(plain.p(ctx, s) for s in range(256)), 1)
 
@@ -89,10 +96,11 @@ def test_edges(spark, docs_repeated, none, data, docs):
 
 def test_the_tree_grows_with_the_input(spark):
     """A clear context stays however much other text is added."""
-    rare, common = b"qzxwjv", {b"the": 1000, b"cat": 500, b"sat": 400, b"mat": 300, b"quit": 200}
+    rare, common = b" zheqq", {b" the": 1000, b"he cat": 500, b"at sat": 400, b"at mat": 300, b"at quit": 200}
     for times in (1, 400):
-        plain = Plain(Counter({rare: 8} | {w: n * times for w, n in common.items()}))
-        assert b"qzx" in plain.kept
-        words = spark.createDataFrame([(bytearray(rare), 8)] + [(bytearray(w), n * times) for w, n in common.items()], "word binary, n long")
-        got = {bytes(r["word"]): r["lp"] for r in S.scored_words(spark, words).collect()}
-        assert all(math.isclose(got[w], sum(math.log10(plain.p(c, s)) for c, s in plain.symbols(w)), rel_tol=1e-9) for w in got)
+        plain = Plain(Counter({rare: 8} | {u: n * times for u, n in common.items()}))
+        assert b"zhe" in plain.kept
+        rows = [(bytearray(rare), 8)] + [(bytearray(u), n * times) for u, n in common.items()]
+        counts = written(spark.createDataFrame(rows, "unit binary, n long").selectExpr("unit", "n", "n as n_word", "true as first"), "counts")
+        got = {bytes(r["unit"]): r["lp"] for r in S.scored_units(spark, counts).collect()}
+        assert len(got) == 6 and all(math.isclose(got[u], sum(math.log10(plain.p(c, s)) for c, s in plain.symbols(u)), rel_tol=1e-9) for u in got)

@@ -1,9 +1,9 @@
 """Language-model scoring by a probabilistic suffix tree over the bytes of words, beside a smoothed unigram base over words.
 
 A text is its lower-cased (ASCII) words and one end. A word's symbols are its bytes and a space; the end's only symbol is END.
-Each symbol is told from the bytes before it in its word, after a space that stands for the word's start, so a text's log
-probability is the sum of its words' and each different word is scored once. Symbol counts after every context of up to DEPTH
-bytes are gathered from the words of all training texts. Contexts of up to SHORT bytes that occur LEAST times stay; longer ones
+Each symbol is told from the bytes before it: those of its word, the space before the word and the last TAIL bytes of the word
+before that. So a text's log probability is the sum over its units, a unit being a word and that tail, and each different unit is
+scored once. Symbol counts after every context of up to DEPTH bytes are gathered from the units of all training texts. Contexts of up to SHORT bytes that occur LEAST times stay; longer ones
 stay if they occur LEAST times and if a likelihood-ratio test tells their next-symbol distribution from that of their suffix
 (neither scales with the corpus, so the tree grows with the input); all suffixes of a kept context are kept. Distributions are
 smoothed towards the suffix's, and each symbol is scored after the longest kept suffix of what stands before it.
@@ -12,7 +12,7 @@ Contexts that end in the same TOGETHER bytes make a subtree of their own but for
 are dealt out and sorted by the reversed context, so a task grows and applies whole subtrees at once; the counts after contexts
 of up to SHORT bytes, of which there are at most 256 ** (SHORT + 1), are broadcast. A subtree's size is bounded by the bytes that
 are left free, 256 ** (DEPTH - TOGETHER + 1) at most, not by the input. Probabilities of frequent grams and the scores of frequent
-words are looked up in broadcast tables of bounded size, those of all others are joined.
+units are looked up in broadcast tables of bounded size, those of all others are joined.
 
 Defined results: null and empty texts are the end alone. With no training rows counts are 0 and the tree is a uniform root.
 Repeated rows get a row each. Other columns are not looked at. An empty table gives no rows.
@@ -27,20 +27,22 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, hashed_part, pieces, shared_dir, written
+from .shared import discard, documents, hashed_part, pieces, shared_dir, written
 
 #: Bytes of the longest context, of the contexts that every task has, and by which subtrees are dealt out.
 DEPTH, SHORT, TOGETHER, END = 7, 2, 3, b"\n"
+#: Bytes of the word before that a unit begins with.
+TAIL = 2
 #: Least count of a context; standard deviations by which 2 * gain must be over its mean (the degrees of freedom) under no divergence.
 LEAST, DEVIATIONS = 4, 3.0
 #: Weight of the suffix's distribution, in counts; counts that each symbol has in the root beforehand.
 MU, _ROOT = 4.0, 0.5
-#: Grams of at least this share of all symbols of the different words (so 1 / USUAL at most) are broadcast, others joined.
+#: Grams of at least this share of all symbols of the different units (so 1 / USUAL at most) are broadcast, others joined.
 USUAL = 1e-6
-#: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
+#: Units of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
 #: Rows that a task takes at once, but for the rest of the last subtree.
 BLOCK = 500_000
@@ -50,19 +52,24 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def units(text: str | None) -> list[bytes]:
+    """For each token of the text: the last bytes of the one before, a space, the token."""
+    words = [*tokens(text), END]
+    return [before[-TAIL:] + b" " + w for before, w in zip([b"", *words], words)]  # noqa: B905
+
+
+def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[bytes] = Counter()
     seen: set[bytes] = set()
 
     def out() -> pd.DataFrame:
-        words = [*counts, *seen.difference(counts)]
-        return pd.DataFrame({"word": words, "n": [*counts.values(), *[0] * (len(words) - len(counts))]})
+        cut = [u.partition(b" ") for u in (*counts, *seen.difference(counts))]
+        return pd.DataFrame({"word": [c[2] for c in cut], "tail": [c[0] for c in cut], "n": [*counts.values(), *[0] * (len(cut) - len(counts))]})
 
     for part in pieces(frames, "text", 4_000_000):
         for t, learn in zip(part["text"], part["learn"], strict=True):
-            (counts if learn else seen).update(tokens(t))
-        counts[END] += int(part["learn"].sum())
-        if len(counts) + len(seen) > 500_000:
+            (counts if learn else seen).update(units(t))
+        if len(counts) + len(seen) > 1_000_000:
             yield out()
             counts.clear()
             seen.clear()
@@ -70,19 +77,26 @@ def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
-    """word (binary; END for the end) of all texts, n: occurrences in the texts to learn from."""
+def unit_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """unit of all texts, n and n_word: occurrences of the unit and of its word in the texts to learn from, first: whether no
+    other unit of the word comes before it."""
     rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    return rows.mapInPandas(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.mapInPandas(_units, "word binary, tail binary, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
+    # a word has 256 ** TAIL + 257 units at most
+    word = Window.partitionBy("word")
+    return counts.select(
+        F.concat("tail", F.lit(b" "), "word").alias("unit"), "n", F.sum("n").over(word).alias("n_word"), (F.row_number().over(word.orderBy("tail")) == 1).alias("first")
+    )
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A code for each symbol of the words, and the number of symbols of each word. A code holds the DEPTH bytes before the
-    symbol, the last one first, and the symbol; spaces stand before a word's start."""
+def grams(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each symbol of the units' words, and the number of symbols of each. A code holds the DEPTH bytes before the
+    symbol, the last one first, and the symbol; spaces stand before a unit's start."""
     pad = b" " * DEPTH
-    b = np.frombuffer(b"".join(pad + (w if w == END else w + b" ") for w in words), np.uint8)
-    sizes = np.fromiter((1 if w == END else len(w) + 1 for w in words), np.int64, len(words))
-    first = np.cumsum(sizes + DEPTH) - sizes
+    whole = [pad + (u if u.endswith(END) else u + b" ") for u in units]
+    b = np.frombuffer(b"".join(whole), np.uint8)
+    sizes = np.fromiter((1 if u.endswith(END) else len(u) - u.index(b" ") for u in units), np.int64, len(units))
+    first = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole))) - sizes
     at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     codes = b[at].astype(np.uint64)
     for k in range(DEPTH):
@@ -91,10 +105,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The frames cut into blocks of about a million bytes of words."""
+    """The frames cut into blocks of about a million bytes of units."""
     for frame in frames:
         for at in range(0, len(frame), 50_000):
-            yield from pieces(iter([frame.iloc[at : at + 50_000]]), "word", 1_000_000)
+            yield from pieces(iter([frame.iloc[at : at + 50_000]]), "unit", 1_000_000)
 
 
 def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,7 +124,7 @@ def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 def _gathered(frames: Iterator[pd.DataFrame], short: bool) -> Iterator[pd.DataFrame]:
     held: list[tuple[np.ndarray, ...]] = []
     for part in blocks(frames):
-        codes, sizes = grams(part["word"].tolist())
+        codes, sizes = grams(part["unit"].tolist())
         if short:
             codes = (codes >> 8 * (DEPTH - SHORT) + 8 << 8) | (codes & 255)
         held.append(summed(codes, np.ones(len(codes), np.int64), np.repeat(part["n"].to_numpy(), sizes)))
@@ -122,10 +136,10 @@ def _gathered(frames: Iterator[pd.DataFrame], short: bool) -> Iterator[pd.DataFr
         yield pd.DataFrame(dict(zip(("gram", "u", "n"), summed(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
 
 
-def gram_counts(words: DataFrame, short: bool = False) -> DataFrame:
-    """gram, u (occurrences in the different words), n (in all training texts), summed by task alone; short: SHORT bytes before
+def gram_counts(counts: DataFrame, short: bool = False) -> DataFrame:
+    """gram, u (occurrences in the different units), n (in all training texts), summed by task alone; short: SHORT bytes before
     the symbol."""
-    return words.select("word", "n").mapInPandas(lambda frames: _gathered(frames, short), "gram long, u long, n long")
+    return counts.select("unit", "n").mapInPandas(lambda frames: _gathered(frames, short), "gram long, u long, n long")
 
 
 @dataclass(frozen=True)
@@ -243,14 +257,14 @@ class Table:
         return there, values
 
 
-def base_of(words: DataFrame) -> Base:
-    short = gram_counts(words, short=True).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+def base_of(counts: DataFrame) -> Base:
+    short = gram_counts(counts, short=True).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     return Base.of(short["gram"].to_numpy(), short["n"].to_numpy())
 
 
-def probabilities(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """gram, u, lp: the log10 probability of each gram of the words by the tree that their counts grow."""
-    base = spark.sparkContext.broadcast(base_of(words))
+def probabilities(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """gram, u, lp: the log10 probability of each gram of the units by the tree that their counts grow."""
+    base = spark.sparkContext.broadcast(base_of(counts))
 
     def grown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -271,53 +285,57 @@ def probabilities(spark: SparkSession, words: DataFrame) -> DataFrame:
             yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
 
     # sums over the tasks' counts are made where the subtrees are grown: one shuffle
-    dealt = gram_counts(words).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER) + 8)).sortWithinPartitions("gram")
+    dealt = gram_counts(counts).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER) + 8)).sortWithinPartitions("gram")
     return written(dealt.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
 
 
-def scored_words(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """word, n, lp: the log10 probability of each word."""
-    told = probabilities(spark, words)
+def scored_units(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """The columns of counts and lp, the log10 probability of each unit's word after its tail. counts, a written table, goes."""
+    told = probabilities(spark, counts)
     least = USUAL * (told.agg(F.coalesce(F.sum("u"), F.lit(0))).first()[0] or 0)
     often = told.where(F.col("u") >= least).select("gram", "lp").toArrow()
     sent = spark.sparkContext.broadcast(Table.of(often["gram"].to_numpy(), often["lp"].to_numpy()))
 
     def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in blocks(frames):
-            codes, sizes = grams(part["word"].tolist())
+            codes, sizes = grams(part["unit"].tolist())
             there, lp = sent.value.get(codes)
             ends = np.cumsum(sizes)
             missing = np.concatenate(([0], np.cumsum(~there)))[ends]
             yield part.assign(lp=np.add.reduceat(lp, ends - sizes), grams=np.split(codes[~there], missing[:-1]))
 
-    first = words.select("word", "n", F.monotonically_increasing_id().alias("id")).mapInPandas(added, "word binary, n long, id long, lp double, grams array<long>")
-    first = written(first, "words-in-part")
-    rest = first.select("id", F.explode("grams").alias("gram")).join(told.where(F.col("u") < least).select("gram", F.col("lp").alias("own")), "gram")
+    schema = "unit binary, n long, n_word long, first boolean, id long, lp double, grams array<long>"
+    part = written(counts.select("unit", "n", "n_word", "first", F.monotonically_increasing_id().alias("id")).mapInPandas(added, schema), "units-in-part")
+    discard(counts)
+    rest = part.select("id", F.explode("grams").alias("gram")).join(told.where(F.col("u") < least).select("gram", F.col("lp").alias("own")), "gram")
     rest = rest.groupBy("id").agg(F.sum("own").alias("rest"))
-    return written(first.join(rest, "id", "left").select("word", "n", (F.col("lp") + F.coalesce("rest", F.lit(0.0))).alias("lp")), "scored-words")
+    out = part.join(rest, "id", "left").select("unit", "n", "n_word", "first", (F.col("lp") + F.coalesce("rest", F.lit(0.0))).alias("lp"))
+    out = written(out, "scored-units")
+    discard(part, told)
+    return out
 
 
 def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learn: whether a row is learned from."""
     shared_dir(spark)
-    counts = scored_words(spark, written(word_counts(docs, learn), "words"))
-    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    frequent = (F.col("word") == F.lit(END)) | ((F.col("n") > 0) & (F.col("n") >= FREQUENT * n_all))
-    usual = counts.where(frequent).toArrow()
-    n, lp = usual["n"].to_numpy(), usual["lp"].to_numpy()
-    # the last row stands for a word that is not there
+    counts = scored_units(spark, written(unit_counts(docs, learn), "units"))
+    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("n_word") > 0), 1))).first()
+    frequent = (F.col("n") > 0) & (F.col("n") >= FREQUENT * n_all)
+    usual = counts.where(frequent).select("unit", "n_word", "lp").toArrow()
+    n, lp = usual["n_word"].to_numpy(), usual["lp"].to_numpy()
+    # the last row stands for a unit that is not there
     columns = (np.append(n > 0, False).astype(np.int64), np.append(np.log10(n + 0.1), 0.0), np.append(lp, 0.0))
-    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(usual["word"].to_pylist())}, columns))
+    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(usual["unit"].to_pylist())}, columns))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, (is_known, base, own) = sent.value
         other = len(number)
         for part in pieces(frames, "text", 1_000_000):
-            texts = [[*tokens(t), END] for t in part["text"]]
-            at = [np.fromiter(map(number.get, words, repeat(other)), np.int64, len(words)) for words in texts]
+            own_units = [units(t) for t in part["text"]]
+            at = [np.fromiter(map(number.get, u, repeat(other)), np.int64, len(u)) for u in own_units]
             sizes = np.array([len(a) for a in at])
             every, starts = np.concatenate(at), np.cumsum(sizes) - sizes
-            rare = [Counter([words[i] for i in np.flatnonzero(a == other)]) for words, a in zip(texts, at, strict=True)]
+            rare = [Counter([u[i] for i in np.flatnonzero(a == other)]) for u, a in zip(own_units, at, strict=True)]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": sizes, "n_usual": np.add.reduceat(is_known[every], starts),
                 "usual": np.add.reduceat(base[every], starts), "score": np.add.reduceat(own[every], starts), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
@@ -325,10 +343,10 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
 
     schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>"
     first = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    looked = rare.join(counts.where(~frequent), "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare_log"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("unit"), F.col("r.times").alias("times"))
+    looked = rare.join(counts.where(~frequent).select("unit", "n_word", "lp"), "unit").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n_word") + 0.1)).alias("rare_log"),
+        F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.col("lp")).alias("rare_lp"),
     )
     per = F.lit(float(np.log10(n_all + 0.1 * (v + 1))))
