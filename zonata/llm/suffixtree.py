@@ -2,8 +2,7 @@
 
 A text is its lower-cased (ASCII) words and one end. A word's symbols are its bytes and a space; the end's only symbol is END.
 Each symbol is told from the bytes before it: those of its word, the space before the word and the last TAIL bytes of the word
-before that. So a text's log probability is the sum over its units, a unit being a word and that tail, and each different unit is
-scored once. Symbol counts after every context of up to DEPTH bytes are gathered from the units of all training texts. Contexts of up to SHORT bytes that occur LEAST times stay; longer ones
+before that (together a unit). So a text's log probability is the sum over its units. Symbol counts after every context of up to DEPTH bytes are gathered from the units of all training texts. Contexts of up to SHORT bytes that occur LEAST times stay; longer ones
 stay if they occur LEAST times and if a likelihood-ratio test tells their next-symbol distribution from that of their suffix
 (neither scales with the corpus, so the tree grows with the input); all suffixes of a kept context are kept. Distributions are
 smoothed towards the suffix's, and each symbol is scored after the longest kept suffix of what stands before it.
@@ -11,8 +10,8 @@ smoothed towards the suffix's, and each symbol is scored after the longest kept
 Contexts that end in the same TOGETHER bytes make a subtree of their own but for its shortest contexts. Rows of (context, symbol)
 are dealt out and sorted by the reversed context, so a task grows and applies whole subtrees at once; the counts after contexts
 of up to SHORT bytes, of which there are at most 256 ** (SHORT + 1), are broadcast. A subtree's size is bounded by the bytes that
-are left free, 256 ** (DEPTH - TOGETHER + 1) at most, not by the input. Probabilities of frequent grams and the scores of frequent
-units are looked up in broadcast tables of bounded size, those of all others are joined.
+are left free, 256 ** (DEPTH - TOGETHER + 1) at most, not by the input. Probabilities of the most frequent grams and counts
+of frequent words are looked up in broadcast tables of bounded size, those of all others are joined.
 
 Defined results: null and empty texts are the end alone. With no training rows counts are 0 and the tree is a uniform root.
 Repeated rows get a row each. Other columns are not looked at. An empty table gives no rows.
@@ -21,28 +20,27 @@ Repeated rows get a row each. Other columns are not looked at. An empty table gi
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, documents, hashed_part, pieces, shared_dir, written
 
 #: Bytes of the longest context, of the contexts that every task has, and by which subtrees are dealt out.
-DEPTH, SHORT, TOGETHER, END = 7, 2, 3, b"\n"
+DEPTH, SHORT, TOGETHER, END = 6, 2, 3, b"\n"
 #: Bytes of the word before that a unit begins with.
 TAIL = 2
 #: Least count of a context; standard deviations by which 2 * gain must be over its mean (the degrees of freedom) under no divergence.
 LEAST, DEVIATIONS = 4, 3.0
 #: Weight of the suffix's distribution, in counts; counts that each symbol has in the root beforehand.
 MU, _ROOT = 4.0, 0.5
-#: Grams of at least this share of all symbols of the different units (so 1 / USUAL at most) are broadcast, others joined.
-USUAL = 1e-6
-#: Units of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
+#: Grams of which probabilities are broadcast, at most; those are the most frequent ones. All others are joined.
+USUAL = 1_500_000
+#: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
 #: Rows that a task takes at once, but for the rest of the last subtree.
 BLOCK = 500_000
@@ -58,35 +56,39 @@ def units(text: str | None) -> list[bytes]:
     return [before[-TAIL:] + b" " + w for before, w in zip([b"", *words], words)]  # noqa: B905
 
 
-def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter[bytes] = Counter()
-    seen: set[bytes] = set()
+def _counted(frames: Iterator[pd.DataFrame], split: Callable[[str | None], list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Different items of many texts, their occurrences in all of these and in those to learn from."""
+    learnt: Counter[bytes] = Counter()
+    others: Counter[bytes] = Counter()
 
-    def out() -> pd.DataFrame:
-        cut = [u.partition(b" ") for u in (*counts, *seen.difference(counts))]
-        return pd.DataFrame({"word": [c[2] for c in cut], "tail": [c[0] for c in cut], "n": [*counts.values(), *[0] * (len(cut) - len(counts))]})
+    def out() -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        items = [*learnt, *others.keys() - learnt.keys()]
+        n = np.fromiter(map(learnt.__getitem__, items), np.int64, len(items))
+        return items, n + np.fromiter(map(others.__getitem__, items), np.int64, len(items)), n
 
     for part in pieces(frames, "text", 4_000_000):
         for t, learn in zip(part["text"], part["learn"], strict=True):
-            (counts if learn else seen).update(units(t))
-        if len(counts) + len(seen) > 1_000_000:
+            (learnt if learn else others).update(split(t))
+        if len(learnt) + len(others) > 500_000:
             yield out()
-            counts.clear()
-            seen.clear()
-    if counts or seen:
+            learnt.clear()
+            others.clear()
+    if learnt or others:
         yield out()
 
 
-def unit_counts(docs: DataFrame, learn: Column) -> DataFrame:
-    """unit of all texts, n and n_word: occurrences of the unit and of its word in the texts to learn from, first: whether no
-    other unit of the word comes before it."""
-    rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = rows.mapInPandas(_units, "word binary, tail binary, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
-    # a word has 256 ** TAIL + 257 units at most
-    word = Window.partitionBy("word")
-    return counts.select(
-        F.concat("tail", F.lit(b" "), "word").alias("unit"), "n", F.sum("n").over(word).alias("n_word"), (F.row_number().over(word.orderBy("tail")) == 1).alias("first")
-    )
+def _told_apart(docs: DataFrame, learn: Column) -> DataFrame:
+    return docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
+
+
+def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """word (binary; END for the end) of all texts, n: occurrences in the texts to learn from."""
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for items, _, n in _counted(frames, lambda t: [*tokens(t), END]):
+            yield pd.DataFrame({"word": items, "n": n})
+
+    return _told_apart(docs, learn).mapInPandas(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def grams(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +106,6 @@ def grams(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes.view(np.int64), sizes
 
 
-def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The frames cut into blocks of about a million bytes of units."""
-    for frame in frames:
-        for at in range(0, len(frame), 50_000):
-            yield from pieces(iter([frame.iloc[at : at + 50_000]]), "unit", 1_000_000)
-
-
 def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """The different codes in order, and the sums of their counts."""
     if not len(codes):
@@ -121,25 +116,22 @@ def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return codes[at], *(np.add.reduceat(c[order], at) for c in counts)
 
 
-def _gathered(frames: Iterator[pd.DataFrame], short: bool) -> Iterator[pd.DataFrame]:
-    held: list[tuple[np.ndarray, ...]] = []
-    for part in blocks(frames):
-        codes, sizes = grams(part["unit"].tolist())
-        if short:
-            codes = (codes >> 8 * (DEPTH - SHORT) + 8 << 8) | (codes & 255)
-        held.append(summed(codes, np.ones(len(codes), np.int64), np.repeat(part["n"].to_numpy(), sizes)))
-        if sum(len(h[0]) for h in held) > 3_000_000:
+def gram_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """gram, u (occurrences in all texts), n (in the texts to learn from), summed by task alone."""
+
+    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for items, u, n in _counted(frames, units):
+            for at in range(0, len(items), 100_000):
+                codes, sizes = grams(items[at : at + 100_000])
+                held.append(summed(codes, np.repeat(u[at : at + 100_000], sizes), np.repeat(n[at : at + 100_000], sizes)))
             held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
             if len(held[0][0]) > 1_500_000:
                 yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
-    if held:
-        yield pd.DataFrame(dict(zip(("gram", "u", "n"), summed(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
-
+        if held:
+            yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
 
-def gram_counts(counts: DataFrame, short: bool = False) -> DataFrame:
-    """gram, u (occurrences in the different units), n (in all training texts), summed by task alone; short: SHORT bytes before
-    the symbol."""
-    return counts.select("unit", "n").mapInPandas(lambda frames: _gathered(frames, short), "gram long, u long, n long")
+    return _told_apart(docs, learn).mapInPandas(gathered, "gram long, u long, n long")
 
 
 @dataclass(frozen=True)
@@ -258,99 +250,109 @@ class Table:
 
 
 def base_of(counts: DataFrame) -> Base:
-    short = gram_counts(counts, short=True).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    """counts: gram, n."""
+    key = F.shiftright("gram", 8 * (DEPTH - SHORT + 1)) * 256 + F.col("gram").bitwiseAND(F.lit(255))
+    short = counts.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     return Base.of(short["gram"].to_numpy(), short["n"].to_numpy())
 
 
-def probabilities(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """gram, u, lp: the log10 probability of each gram of the units by the tree that their counts grow."""
+def probabilities(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
+    """gram, u, lp: the log10 probability of each gram of the texts by the tree that those to learn from grow."""
+    # dealt out by subtrees; the sums over the tasks' counts are made where these are grown
+    dealt = gram_counts(docs, learn).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER + 1))).sortWithinPartitions("gram")
+    counts = written(dealt.mapInPandas(_subtrees, "gram long, u long, n long"), "grams")
     base = spark.sparkContext.broadcast(base_of(counts))
 
     def grown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out(codes: np.ndarray, u: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"gram": codes, "u": u, "lp": np.log10(levels(codes, n, base.value))})
-
-        for frame in frames:
-            held.append((frame["gram"].to_numpy(), frame["u"].to_numpy(), frame["n"].to_numpy()))
-            if sum(len(h[0]) for h in held) >= BLOCK:
-                codes, u, n = summed(*map(np.concatenate, zip(*held, strict=True)))
-                tree = codes >> 8 * (DEPTH - TOGETHER) + 8
-                cut = int(np.searchsorted(tree, tree[-1]))  # the last subtree may go on
-                held = [(codes[cut:], u[cut:], n[cut:])]
-                if cut:
-                    yield out(codes[:cut], u[:cut], n[:cut])
-        if held:
-            yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
+        for part in _subtrees(frames):
+            codes = part["gram"].to_numpy()
+            yield pd.DataFrame({"gram": codes, "u": part["u"].to_numpy(), "lp": np.log10(levels(codes, part["n"].to_numpy(), base.value))})
 
-    # sums over the tasks' counts are made where the subtrees are grown: one shuffle
-    dealt = gram_counts(counts).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER) + 8)).sortWithinPartitions("gram")
-    return written(dealt.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
+    again = counts.repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER + 1))).sortWithinPartitions("gram")
+    out = written(again.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
+    discard(counts)
+    return out
 
 
-def scored_units(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """The columns of counts and lp, the log10 probability of each unit's word after its tail. counts, a written table, goes."""
-    told = probabilities(spark, counts)
-    least = USUAL * (told.agg(F.coalesce(F.sum("u"), F.lit(0))).first()[0] or 0)
-    often = told.where(F.col("u") >= least).select("gram", "lp").toArrow()
-    sent = spark.sparkContext.broadcast(Table.of(often["gram"].to_numpy(), often["lp"].to_numpy()))
+def _subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of gram, summed by gram and in blocks of whole subtrees."""
+    names, held = ("gram", "u", "n"), []
+    for frame in frames:
+        held.append(tuple(frame[c].to_numpy() for c in names))
+        if sum(len(h[0]) for h in held) >= BLOCK:
+            codes, *counts = summed(*map(np.concatenate, zip(*held, strict=True)))
+            tree = codes >> 8 * (DEPTH - TOGETHER + 1)
+            cut = int(np.searchsorted(tree, tree[-1]))  # the last subtree may go on
+            held = [(codes[cut:], *(c[cut:] for c in counts))]
+            if cut:
+                yield pd.DataFrame(dict(zip(names, (codes[:cut], *(c[:cut] for c in counts)), strict=True)))
+    if held:
+        yield pd.DataFrame(dict(zip(names, summed(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
 
-    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in blocks(frames):
-            codes, sizes = grams(part["unit"].tolist())
-            there, lp = sent.value.get(codes)
-            ends = np.cumsum(sizes)
-            missing = np.concatenate(([0], np.cumsum(~there)))[ends]
-            yield part.assign(lp=np.add.reduceat(lp, ends - sizes), grams=np.split(codes[~there], missing[:-1]))
 
-    schema = "unit binary, n long, n_word long, first boolean, id long, lp double, grams array<long>"
-    part = written(counts.select("unit", "n", "n_word", "first", F.monotonically_increasing_id().alias("id")).mapInPandas(added, schema), "units-in-part")
-    discard(counts)
-    rest = part.select("id", F.explode("grams").alias("gram")).join(told.where(F.col("u") < least).select("gram", F.col("lp").alias("own")), "gram")
-    rest = rest.groupBy("id").agg(F.sum("own").alias("rest"))
-    out = part.join(rest, "id", "left").select("unit", "n", "n_word", "first", (F.col("lp") + F.coalesce("rest", F.lit(0.0))).alias("lp"))
-    out = written(out, "scored-units")
-    discard(part, told)
-    return out
+def usual_grams(told: DataFrame) -> float:
+    """Least occurrences of a gram at which USUAL grams at most have as many, to a tenth."""
+    step = F.floor(F.log(F.greatest("u", F.lit(1))) / F.log(F.lit(1.1)))
+    held = 0
+    for r in told.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > USUAL:
+            return 1.1 ** (r["step"] + 1)
+    return 0.0
 
 
 def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learn: whether a row is learned from."""
     shared_dir(spark)
-    counts = scored_units(spark, written(unit_counts(docs, learn), "units"))
-    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("n_word") > 0), 1))).first()
+    counts = written(word_counts(docs, learn), "words")
+    n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     frequent = (F.col("n") > 0) & (F.col("n") >= FREQUENT * n_all)
-    usual = counts.where(frequent).select("unit", "n_word", "lp").toArrow()
-    n, lp = usual["n_word"].to_numpy(), usual["lp"].to_numpy()
-    # the last row stands for a unit that is not there
-    columns = (np.append(n > 0, False).astype(np.int64), np.append(np.log10(n + 0.1), 0.0), np.append(lp, 0.0))
-    sent = spark.sparkContext.broadcast(({w: i for i, w in enumerate(usual["unit"].to_pylist())}, columns))
+    usual = counts.where(frequent).toArrow()
+    told = probabilities(spark, docs, learn)
+    often = F.col("u") >= usual_grams(told)
+    top = told.where(often).select("gram", "lp").toArrow()
+    words = {w: n for w, n in zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True)}
+    sent = spark.sparkContext.broadcast((words, Table.of(top["gram"].to_numpy(), top["lp"].to_numpy())))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, (is_known, base, own) = sent.value
-        other = len(number)
+        known, table = sent.value
         for part in pieces(frames, "text", 1_000_000):
-            own_units = [units(t) for t in part["text"]]
-            at = [np.fromiter(map(number.get, u, repeat(other)), np.int64, len(u)) for u in own_units]
-            sizes = np.array([len(a) for a in at])
-            every, starts = np.concatenate(at), np.cumsum(sizes) - sizes
-            rare = [Counter([u[i] for i in np.flatnonzero(a == other)]) for u, a in zip(own_units, at, strict=True)]
+            own = [units(t) for t in part["text"]]
+            number: dict[bytes, int] = {}
+            at = [np.fromiter((number.setdefault(u, len(number)) for u in x), np.int64, len(x)) for x in own]
+            # what each different unit adds
+            n = np.fromiter((known.get(u[u.index(b" ") + 1 :], 0) for u in number), np.int64, len(number))
+            base, is_known = np.where(n > 0, np.log10(n + 0.1), 0.0), n > 0
+            codes, sizes = grams(list(number))
+            there, lp = table.get(codes)
+            ends = np.cumsum(sizes)
+            told_here, missing = np.add.reduceat(lp, ends - sizes), np.concatenate(([0], np.cumsum(~there)))[np.append(0, ends)]
+            gone = codes[~there]
+            lengths = np.array([len(a) for a in at])
+            every, starts = np.concatenate(at), np.cumsum(lengths) - lengths
+            names, rare, grams_left = list(number), [], []
+            some = np.diff(missing) > 0
+            for a in at:
+                rare.append(Counter([names[i][names[i].index(b" ") + 1 :] for i in a[~is_known[a]].tolist()]))
+                held = a[some[a]]
+                left = gone[np.concatenate([np.arange(missing[i], missing[i + 1]) for i in held])] if len(held) else gone[:0]
+                grams_left.append(np.unique(left, return_counts=True))
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": sizes, "n_usual": np.add.reduceat(is_known[every], starts),
-                "usual": np.add.reduceat(base[every], starts), "score": np.add.reduceat(own[every], starts), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
+                "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": lengths, "n_usual": np.add.reduceat(is_known[every].astype(np.int64), starts),
+                "usual": np.add.reduceat(base[every], starts), "score": np.add.reduceat(told_here[every], starts), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
+                "grams": [g for g, _ in grams_left], "seen": [c for _, c in grams_left],
             })
 
-    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>"
+    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<int>"
     first = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("unit"), F.col("r.times").alias("times"))
-    looked = rare.join(counts.where(~frequent).select("unit", "n_word", "lp"), "unit").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n_word") + 0.1)).alias("rare_log"),
-        F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.col("lp")).alias("rare_lp"),
+    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    looked = rare.join(counts.where(~frequent), "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
+    left = first.select("row", F.explode(F.arrays_zip("grams", "seen")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.seen").alias("seen"))
+    left = left.join(told.where(~often).select("gram", "lp"), "gram").groupBy("row").agg(F.sum(F.col("seen") * F.col("lp")).alias("rare_lp"))
     per = F.lit(float(np.log10(n_all + 0.1 * (v + 1))))
-    return first.drop("rare", "times").join(looked, "row", "left").select(
+    return first.drop("rare", "times", "grams", "seen").join(looked, "row", "left").join(left, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_usual") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("usual") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"),
         (F.col("score") + F.coalesce("rare_lp", F.lit(0.0))).alias("score"),
