@@ -41,7 +41,7 @@ SPACE, LITERAL = "▁", "\ud800"  # the second stands for a U+2581 of the text i
 #: Characters of a chunk, chunks of a group, units and characters kept in a worker's cache.
 CHUNK, GROUP, CACHE, CACHE_CHARS = 8192, 256, 500_000, 8_000_000
 #: Characters of texts taken at once, and of segments solved at once.
-BATCH, BLOCK = 2_000_000, 500_000
+BATCH, BLOCK = 1_000_000, 250_000
 NONE = -(1 << 60)
 _BYTES, _OFF = -1, -2  # in place of a piece: a character by its bytes; no piece of the path starts here
 _UNIT = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
@@ -305,7 +305,7 @@ def matrices(v: Vocabulary, parts: list[Part], middles: np.ndarray) -> np.ndarra
     out = np.full((len(parts), k, k), NONE, np.int64)
     heads = [p.head for p in parts]
     stops = np.array([len(p.head) if p.tail is not None else p.stop for p in parts], np.int64)
-    for a, b in runs(heads, BLOCK // 4):
+    for a, b in runs(heads, BLOCK // 2):
         lat = v.lattice(heads[a:b], stops[a:b])
         best = v.all_entries(lat)
         for i, at, stop, size in zip(range(a, b), lat.starts, stops[a:b], lat.sizes, strict=True):
