@@ -39,7 +39,7 @@ LEAST, DEVIATIONS = 4, 3.0
 #: Weight of the suffix's distribution, in counts; counts that each symbol has in the root beforehand.
 MU, _ROOT = 4.0, 0.5
 #: Grams of which probabilities are broadcast, at most; those are the most frequent ones. All others are joined.
-USUAL = 1_500_000
+USUAL = 500_000
 #: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
 #: Rows that a task takes at once, but for the rest of the last subtree.
@@ -116,6 +116,13 @@ def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return codes[at], *(np.add.reduceat(c[order], at) for c in counts)
 
 
+def gathered_up(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As `summed`, in no order."""
+    at, different = pd.factorize(codes)
+    # counts are whole numbers below 2 ** 53
+    return different, *(np.bincount(at, c, len(different)).astype(np.int64) for c in counts)
+
+
 def gram_counts(docs: DataFrame, learn: Column) -> DataFrame:
     """gram, u (occurrences in all texts), n (in the texts to learn from), summed by task alone."""
 
@@ -124,8 +131,8 @@ def gram_counts(docs: DataFrame, learn: Column) -> DataFrame:
         for items, u, n in _counted(frames, units):
             for at in range(0, len(items), 100_000):
                 codes, sizes = grams(items[at : at + 100_000])
-                held.append(summed(codes, np.repeat(u[at : at + 100_000], sizes), np.repeat(n[at : at + 100_000], sizes)))
-            held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                held.append(gathered_up(codes, np.repeat(u[at : at + 100_000], sizes), np.repeat(n[at : at + 100_000], sizes)))
+            held = [gathered_up(*map(np.concatenate, zip(*held, strict=True)))]
             if len(held[0][0]) > 1_500_000:
                 yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
         if held:
@@ -331,11 +338,12 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
             lengths = np.array([len(a) for a in at])
             every, starts = np.concatenate(at), np.cumsum(lengths) - lengths
             names, rare, grams_left = list(number), [], []
-            some = np.diff(missing) > 0
+            counts_left = np.diff(missing)
             for a in at:
                 rare.append(Counter([names[i][names[i].index(b" ") + 1 :] for i in a[~is_known[a]].tolist()]))
-                held = a[some[a]]
-                left = gone[np.concatenate([np.arange(missing[i], missing[i + 1]) for i in held])] if len(held) else gone[:0]
+                a = a[counts_left[a] > 0]
+                k = counts_left[a]
+                left = gone[np.repeat(missing[a] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
                 grams_left.append(np.unique(left, return_counts=True))
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": lengths, "n_usual": np.add.reduceat(is_known[every].astype(np.int64), starts),
