@@ -35,13 +35,16 @@ def held(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
-def test_against_all_pairs(spark, docs, unique, n, percent):
+@pytest.mark.parametrize("n, percent, small", [(3, 85, 64), (5, 80, 64), (3, 85, 1)])
+def test_against_all_pairs(spark, docs, unique, n, percent, small, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", small)
     assert held(N.link(spark, docs, n, percent)) == brute(unique, n, percent)
 
 
-def test_large_groups_of_near_copies_by_leaders(spark, monkeypatch):
+@pytest.mark.parametrize("small", [64, 1])
+def test_large_groups_of_near_copies_by_leaders(spark, monkeypatch, small):
     monkeypatch.setattr(N, "LEFT_OVER", 0)
+    monkeypatch.setattr(N, "SMALL", small)
     rng, rows = random.Random(2), []
     for g in range(4):
         base = words(rng, 120).split()
@@ -54,6 +57,23 @@ def test_large_groups_of_near_copies_by_leaders(spark, monkeypatch):
     assert held(N.link(spark, df, 3, 85)) == brute(rows, 3, 85)
 
 
+def test_a_template_makes_few_pairs(spark):
+    """Documents of one template, none similar enough to another but for two planted pairs."""
+    rng, rows = random.Random(7), []
+    template = [f"t{i}" for i in range(400)]
+    for d in range(300):
+        rows.append((d, " ".join(template + [f"own{d}x{k}" for k in range(60)])))
+    for d, of in ((900, 5), (901, 77)):
+        own = rows[of][1].split()
+        own[rng.randrange(400, 460)] = "changed"
+        rows.append((d, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = spark.createDataFrame([(d, len(set(zip(w := t.split(), w[1:], w[2:], strict=False))), d) for d, t in rows], "id long, n long, component long")
+    assert {(r["a"], r["b"]) for r in N.by_rare_shingles(ids, df, 3, 85).collect()} == {(5, 900), (77, 901)}
+    got = held(N.link(spark, df, 3, 85))
+    assert {d: c for d, (_, c, _) in got.items() if c != d} == {900: 5, 901: 77}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(1, 2), (9, 2), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}

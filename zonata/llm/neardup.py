@@ -6,8 +6,11 @@ T coordinates (but for a chance of a few in 100,000 at the threshold itself, far
 size - T + 1 rarest of the pairs that a class shares with any other (prefix), which skips the frequent ones. Candidates come
 from these lists, are counted on whole signatures, and are confirmed on full sets.
 
-Large lists are not paired out: rounds of one leader for each list link most of a group in linear work; what is left between
-different components in a list then has its signatures compared within the join, so no list is capped.
+Large lists are not paired out: rounds of one leader for each list link most of a group in linear work. What is then left
+between different components in a list of up to SMALL classes has its signatures compared within the join. The classes of longer
+lists (many documents of one template, say, none similar enough to another) meet by the rarest shingles of their full sets: of two
+sets that are similar enough, the smaller one's n - 2p/(1+p) n + 1 rarest and the larger one's n - p n + 1 rarest share a shingle.
+That is exact, so no list is capped, and what a template's documents have in common is too frequent to make pairs.
 
 Defined results: null and empty texts, and texts without words, have an empty set, size 0, and stand alone. A text with fewer
 than n words is one shingle. Repeated rows fall into one class. Other columns are not looked at.
@@ -31,8 +34,9 @@ from .shared import documents, pieces, shared_dir, written
 H, WIDTH, BITS, DEVIATIONS = 32, 128, 4, 4.3
 #: Cells that shingles are dealt to; the parities of their counts differ in no more cells than the sets differ in shingles.
 CELLS = 512
-#: Rounds of leaders at most; pairs left over between components, for each posting, at which all of them are compared.
-LEADER_ROUNDS, LEFT_OVER = 8, 1000
+#: Rounds of leaders at most, which end once a round leaves over half of the pairs between components or no more than LEFT_OVER
+#: for each posting; classes of a list that is paired out.
+LEADER_ROUNDS, LEFT_OVER, SMALL = 8, 1000, 64
 _RNG = np.random.default_rng(20240229)
 _XOR, _MUL = _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64), _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64) | np.uint64(1)
 
@@ -161,6 +165,28 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     return inner.where(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct()
 
 
+def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: pairs of ids (id, n, component) of different components, all those among them that are similar enough."""
+
+    def sets(text: pd.Series) -> pd.Series:
+        shingles = Shingler(n)
+        return pd.Series([shingles(t).view(np.int64) for t in text])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    shingles = written(texts.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text")).alias("s")), "shingles")
+    shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("p")).join(ids, "id")
+    # shingles of one set alone come first and meet no other
+    alone = F.col("n") - F.size("p")
+    smaller = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 - alone
+    larger = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    side = lambda x, k: ordered.select(F.explode(F.slice("p", F.lit(1), F.greatest(k, F.lit(0)).cast("int"))).alias("s"), F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"component_{x}"))
+    met = side("a", smaller).join(side("b", larger), "s").where(
+        (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "a") < F.struct("n_b", "b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+    )
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept."""
     shared_dir(spark)
@@ -170,23 +196,27 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     posts = written(prefixes(classes, needed(H, percent)), "posts")
     n_posts = posts.count()
     label = posts.select("id").distinct().withColumn("component", F.col("id"))
-    links = None
+    links, before = None, float("inf")
     for k in range(LEADER_ROUNDS + 1):
         placed = posts.join(label, "id") if k else posts.withColumn("component", F.col("id"))
         lists = placed.groupBy("v", "component").agg(F.count(F.lit(1)).alias("g")).groupBy("v").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
-        open_ = lists.where("m * m > own").select("v", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("cross"))
+        open_ = lists.where("m * m > own").select("v", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("cross"))
         left = open_.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
         if not left:
             break
-        still = placed.join(open_.select("v"), "v")
-        last = (k > 0 and left <= LEFT_OVER * n_posts) or k == LEADER_ROUNDS
+        still = placed.join(open_.select("v", "m"), "v")
+        last = (k > 0 and (left <= LEFT_OVER * n_posts or left > before / 2)) or k == LEADER_ROUNDS
+        before = left
         if last:
-            full = still.join(classes.select("id", "n", "bits", "odd"), "id")
+            full = still.where(F.col("m") <= SMALL).join(classes.select("id", "n", "bits", "odd"), "id")
             side = lambda x: full.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "bits", "odd", "p")))  # noqa: E731, B023
             pairs = side("a").join(side("b"), "v").where(
                 (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _close(percent)
                 & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("v"))  # of all lists that hold a pair, one gives it
             ).select("a", "b")
+            wide = written(still.where(F.col("m") > SMALL).select("id", "component").distinct().join(classes.select("id", "n"), "id"), "wide")
+            if not wide.isEmpty():
+                pairs = pairs.unionByName(by_rare_shingles(wide, docs, n, percent)).distinct()
         else:
             order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
             leader = still.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l"))
