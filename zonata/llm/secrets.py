@@ -9,8 +9,9 @@ quoted values assigned to a credential's name are secrets; all digits without an
 words of version control and bare dictionary words are not; the rest has no label.
 
 Defined results: null and empty texts have no candidates. If the labels are of one kind, or none, no forest is grown and the
-weak label decides (null: not a secret). Copies of a finding are findings of their own. An empty table gives no rows. Other
-columns are not looked at.
+weak label decides (null: not a secret). Labels hold for every row of their doc_id with a candidate at their start; repeated labels
+are one, and of different ones the secret holds. Copies of a finding are findings of their own. An empty table gives no rows. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -149,24 +150,33 @@ def scan(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     found = written(findings(parts_of(docs, row)), "findings")
     featured = weak_labels(with_features(found, dictionary(docs)))
     if labels is not None:
-        given = labels.select("doc_id", "start", F.col("label").cast("double").alias("label"))
+        # a finding that is labelled twice is one; if the labels differ it is a secret
+        given = labels.groupBy("doc_id", "start").agg(F.max(F.col("label").cast("double")).alias("label"))
         featured = featured.drop("label").join(given, ["doc_id", "start"], "left")
     featured = written(featured, "featured")
     out = judged(featured, train(featured))
     return out.select("row", "doc_id", "i", "start", F.col("length").cast("long").alias("length"), "value", "score", "is_secret")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def redact(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The documents, columns and rows as they are, with each secret in text replaced by MASK."""
     columns = docs.columns
-    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias("__row")), "to-redact")
-    flags = scan(spark, numbered, labels, F.col("__row")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "is_secret"))).alias("__flags"))
-    flags = flags.where(F.exists("__flags", lambda f: f["is_secret"])).withColumnRenamed("row", "__row")
-    joined = numbered.join(flags, "__row", "left")
+    row, found = (unused(columns, name) for name in ("row", "flags"))
+    numbered = written(docs.select(*columns, F.monotonically_increasing_id().alias(row)), "to-redact")
+    told = scan(spark, numbered, labels, F.col(row)).groupBy(F.col("row").alias(row))
+    flags = told.agg(F.sort_array(F.collect_list(F.struct("i", "is_secret"))).alias(found)).where(F.exists(found, lambda f: f["is_secret"]))
+    joined = numbered.join(flags, row, "left")
     cands, gaps = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)), F.split("text", CANDIDATE, -1)
-    masked = F.transform(F.arrays_zip(cands.alias("c"), F.col("__flags").alias("f")), lambda z: F.when(z["f"]["is_secret"], F.lit(MASK)).otherwise(z["c"]))
+    masked = F.transform(F.arrays_zip(cands.alias("c"), F.col(found).alias("f")), lambda z: F.when(z["f"]["is_secret"], F.lit(MASK)).otherwise(z["c"]))
     text = F.array_join(F.zip_with(gaps, F.concat(masked, F.array(F.lit(""))), lambda g, c: F.concat(g, c)), "")
-    return joined.withColumn("text", F.when(F.col("__flags").isNotNull(), text).otherwise(F.col("text"))).select(*columns)
+    return joined.withColumn("text", F.when(F.col(found).isNotNull(), text).otherwise(F.col("text"))).select(*columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
