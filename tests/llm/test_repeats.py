@@ -46,6 +46,17 @@ def test_periodic_and_spliced_texts(spark, seed, monkeypatch):
     assert held(R.repeats(spark, df)) == brute(rows)
 
 
+def test_large_and_repeated_ids(spark):
+    """Ids near 2 ** 62, a repeated row, a null id last."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefg hij") for _ in range(400))
+    rows = [((1 << 62) + i, text[i * 10 : i * 10 + 300]) for i in range(5)]
+    df = spark.createDataFrame([*rows, rows[0], (None, text)], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 1 << 63, r["n_removed"]) for r in R.repeats(spark, df).collect())
+    want = brute([(i, t) for i, (_, t) in enumerate([rows[0], *rows, (None, text)])])
+    assert [n for _, n in got] == [want[i][1] for i in range(7)]
+
+
 def test_maximal_repeats():
     spans = [b"xxABCDEFGHyy", b"zABCDEFGHw", b"qqCDEFGHr"]
     got = {(n, frozenset(zip(w.tolist(), o.tolist()))) for n, w, o in R.maximal_repeats(spans, [9, 7, 6], 4)}

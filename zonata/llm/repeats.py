@@ -1,16 +1,16 @@
 """Repeated passages: bytes covered by an `length`-byte string that also starts earlier, by an enhanced suffix array in buckets.
 
 Every window of `length` bytes goes to the bucket of its minimiser, the least hash of its k-grams, so equal windows meet. Runs
-of neighbouring windows with one minimiser travel as one row: (minimiser, hash of the bytes the run spans). Runs whose whole
-span occurred earlier are repeats at once; what is left of a bucket, one run for each different span, is fetched as bytes, and
+of neighbouring windows with one minimiser travel as one row: (minimiser, 128-bit digest of the bytes the run spans). Runs whose
+whole span occurred earlier, told by minimiser and digest, are repeats at once; what is left of a bucket, one run for each different span, is fetched as bytes, and
 its window starts are sorted into a suffix array with common-prefix lengths. A stack scan yields the tree of common-prefix
 intervals; those of at least `length` whose members differ in the byte before them (left-diverse) are the maximal repeats, each
 with all its occurrences. All but the first occurrence are covered. Buckets with very many different spans are dealt out by
 their windows' hashes, which is exact as well.
 
 Defined results: null and empty texts have 0 bytes and nothing removed; texts shorter than `length` never lose a byte; equal
-texts: the one with the smallest doc_id keeps what no earlier text holds. Rows that repeat a doc_id are ordered arbitrarily
-among themselves. Other columns are not looked at.
+texts: the one with the smallest doc_id keeps what no earlier text holds. Rows that repeat a doc_id are ordered by their texts, a
+null doc_id comes last. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, shared_dir, written
+from .shared import documents, shared_dir, with_id, with_id_text, written
 
 LENGTH, GRAM = 100, 24
 #: Different spans in a bucket above which it is dealt out by window.
@@ -76,7 +77,7 @@ def _minimum(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, minimiser, span hash, twice) of the runs of windows of texts of at least `length` bytes.
+    """(text, start, windows, minimiser, digest of the span in two numbers, twice) of the runs of windows of texts of at least `length` bytes.
 
     A run's windows share a minimiser at one position. twice: the minimiser occurs again in the run's span, so that windows
     of the run may be equal to each other.
@@ -85,7 +86,7 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     sizes = np.array([len(t) for t in texts])
     base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     width = length - gram + 1
-    grams, h64 = rolling(b, gram, 64)
+    (grams,) = rolling(b, gram)
     low = np.uint64(127)
     h = _mix(grams) & ~low
     least = _minimum(h | (np.arange(len(h), dtype=np.uint64) & low), width)  # ties are told apart; width is below 128
@@ -104,20 +105,9 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
         twice |= (around[at + width + k] == value) & (at + k < last + width)
         twice |= (around[at + width - k] == value) & (at - k >= edge)
     text = np.searchsorted(base, edge, "right") - 1
-    return text, edge - base[text], last - edge + 1, value, _span_hash(h64, edge, last + length), twice
-
-
-def _span_hash(h64: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of the bytes start .. end, from the hashes of 64 bytes each that tile them, the last one aligned to the end."""
-    out = _mix(h64[starts] ^ _mix((ends - starts).astype(np.uint64)))
-    step = starts + 64
-    while True:  # spans are at most two lengths long, so these are few rounds
-        more = step < ends
-        if not more.any():
-            return out
-        at = np.minimum(step, ends - 64)
-        out = np.where(more, _mix(out * _A + h64[np.where(more, at, 0)]), out)
-        step = step + 64
+    raw = memoryview(b)
+    digests = b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(edge.tolist(), (last + length).tolist(), strict=True)])
+    return text, edge - base[text], last - edge + 1, value, np.frombuffer(digests, np.int64).reshape(-1, 2), twice
 
 
 def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +120,9 @@ def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _local(rows: pd.DataFrame) -> pd.DataFrame:
     """A block's runs; those whose span was met before in the block are known repeats and need no bucket: a hot span leaves
     one row a block. deal: what the rows are dealt by."""
-    key, span, n, uid = (rows[c].to_numpy() for c in ("key", "span", "n", "uid"))
-    order = np.lexsort((rows["start"].to_numpy(), uid, n, span, key))
-    again = (key[order][1:] == key[order][:-1]) & (span[order][1:] == span[order][:-1]) & (n[order][1:] == n[order][:-1])
+    key, span, span2, uid = (rows[c].to_numpy() for c in ("key", "span", "span2", "uid"))
+    order = np.lexsort((rows["start"].to_numpy(), uid, span2, span, key))
+    again = (key[order][1:] == key[order][:-1]) & (span[order][1:] == span[order][:-1]) & (span2[order][1:] == span2[order][:-1])
     known = np.zeros(len(key), bool)
     known[order[1:][again]] = True
     return rows.assign(known=known, deal=np.where(known, uid, key))
@@ -142,7 +132,7 @@ def _run_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def block(held: list[tuple[int, int, bytes]]) -> pd.DataFrame:
         text, start, n, key, span, twice = runs([h[2] for h in held])
         uid, at = np.array([h[0] for h in held])[text], np.array([h[1] for h in held])[text]
-        return pd.DataFrame({"key": key.view(np.int64), "span": span.view(np.int64), "uid": uid, "start": (start + at).astype(np.int32), "n": n.astype(np.int32), "twice": twice})
+        return pd.DataFrame({"key": key.view(np.int64), "span": span[:, 0], "span2": span[:, 1], "uid": uid, "start": (start + at).astype(np.int32), "n": n.astype(np.int32), "twice": twice})
 
     held, size, rows = [], 0, []
     for frame in frames:
@@ -164,7 +154,7 @@ def _run_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sifted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key, span, n, uid, start. Out: known repeats (whole) and first runs of buckets that need their bytes.
+    """Rows sorted by key, digest, uid, start. Out: known repeats (whole) and first runs of buckets that need their bytes.
 
     One row of each bucket is carried from batch to batch: the first run, held back until a second span shows.
     """
@@ -178,9 +168,9 @@ def _sifted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(frame):
             if held is not None:
                 frame = pd.concat([held, frame])
-            key, span, n = (frame[c].to_numpy() for c in ("key", "span", "n"))
+            key, span, span2 = (frame[c].to_numpy() for c in ("key", "span", "span2"))
             same_key = np.concatenate(([False], key[1:] == key[:-1]))
-            same = same_key & np.concatenate(([False], (span[1:] == span[:-1]) & (n[1:] == n[:-1])))
+            same = same_key & np.concatenate(([False], (span[1:] == span[:-1]) & (span2[1:] == span2[:-1])))
             out.append(frame[same].assign(whole=True)[columns])
             first = ~same
             if held is not None:
@@ -354,34 +344,35 @@ def merged(covers) -> list[tuple[int, int]]:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, uid, text: uid orders rows as doc_id does; rows that share a doc_id, or have none, get different ones."""
-    n = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).first()
-    if n[0] is None or (n[0] == 1 and not n[2]):
+    n = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max(F.col("doc_id").isNull().cast("int"))).first()
+    if n[0] is None or (n[0] == 1 and not n[1]):
         return docs.select("doc_id", F.col("doc_id").alias("uid"), "text")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return docs.select("doc_id", (F.coalesce("doc_id", F.lit((n[1] or 0) + 1)) * n[0] + copy).cast("long").alias("uid"), "text")
+    # partitions are ranges of the order, and so are their numbers
+    in_order = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return written(in_order.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text"), "numbered")
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans, the removed (start, stop) in order."""
     shared_dir(spark)
     texts = numbered(docs)
-    rows = texts.select("uid", "text").mapInPandas(_run_rows, "key long, span long, uid long, start int, n int, twice boolean, known boolean, deal long")
-    rows = rows.repartition("deal").sortWithinPartitions("key", "span", "n", "uid", "start")
+    rows = texts.select("uid", "text").mapInPandas(_run_rows, "key long, span long, span2 long, uid long, start int, n int, twice boolean, known boolean, deal long")
+    rows = rows.repartition("deal").sortWithinPartitions("key", "span", "span2", "uid", "start")
     found = written(rows.mapInPandas(_sifted, "whole boolean, key long, uid long, start int, n int"), "runs")
     # what is left of the buckets, with its bytes
     firsts = found.where("not whole")
     wide = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WIDE).select("key", F.lit(True).alias("wide"))
     wanted = firsts.join(wide, "key", "left").groupBy("uid").agg(F.collect_list(F.struct("key", "start", "n", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("wanted"))
-    bodies = texts.mapInPandas(_bodies, "doc_id long, uid long, n_bytes long, body binary")
+    bodies = with_id_text(texts).mapInPandas(_bodies, "doc_id string, uid long, n_bytes long, body binary")
     schema = "whole boolean, deal long, key long, uid long, start int, n int, bytes binary"
     fetched = wanted.join(bodies, "uid").select("uid", "body", "wanted").mapInPandas(_fetched, schema).repartition("deal").sortWithinPartitions("key")
     covers = fetched.mapInPandas(_covers, "uid long, start long, stop long")
     covers = covers.unionByName(found.where("whole").select("uid", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + LENGTH - 1).cast("long").alias("stop")))
     covers = written(covers.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("covers")), "covers")
     out = bodies.join(covers, "uid", "left").select("doc_id", "n_bytes", "body", "covers").mapInPandas(
-        _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
+        _kept, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
     )
-    return out
+    return with_id(out)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
