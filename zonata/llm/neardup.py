@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, pieces, shared_dir, written
+from .shared import documents, pieces, shared_dir, with_id, with_id_text, written
 
 #: Coordinates that are posted, and all coordinates, of which BITS bits each are compared; standard deviations below the mean of
 #: a pair at the threshold at which a pair is still looked at.
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 "odd": [parities(s) if len(s) else None for s in sets],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig array<int>, bits array<long>, odd array<long>")
+    return with_id(with_id_text(docs.select("doc_id", "text")).mapInPandas(sketch, "doc_id string, n_shingles long, key binary, sig array<int>, bits array<long>, odd array<long>"))
 
 
 def prefixes(classes: DataFrame, agree: int) -> DataFrame:

@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, pieces, shared_dir, written
+from .shared import documents, pieces, shared_dir, with_id, with_id_text, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a U+2581 of the text itself; no valid text holds it
@@ -366,8 +366,8 @@ def traced(v: Vocabulary, parts: list[Part], entries: list[int], leaves: list[in
     return [(b, after.get(i, np.empty(0, np.int32)), int(s)) for i, (b, s) in enumerate(zip(before, score, strict=True))]
 
 
-_OUT = "doc_id long, row long, chunk long, ids array<int>, score long, lossless boolean"
-_PARTS = "doc_id long, row long, chunk long, groups long, g long, m array<long>, head string, tail string, stop int, ids array<int>, score long, lossless boolean"
+_OUT = "doc_id string, row long, chunk long, ids array<int>, score long, lossless boolean"
+_PARTS = "doc_id string, row long, chunk long, groups long, g long, m array<long>, head string, tail string, stop int, ids array<int>, score long, lossless boolean"
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
@@ -377,7 +377,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int
     if chunk < vocabulary(model).longest:
         raise ValueError("a chunk must hold the longest piece")
     long_ = F.length("text") >= chunk
-    texts = docs.select("doc_id", "text")
+    texts = with_id_text(docs.select("doc_id", "text"))
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
@@ -459,7 +459,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, chunk: int
     states = by_group.groupBy("row").applyInPandas(of_groups, "row long, g long, entry int, leave int")
     placed = several.join(states, ["row", "g"]).unionByName(moves.where("groups = 1").withColumns({"entry": F.lit(0), "leave": F.lit(0)}))
     bounds = placed.groupBy("row", "g").applyInPandas(of_chunks, "row long, chunk long, entry int, leave int")
-    return one.unionByName(parts.drop("m", "g", "groups").join(bounds, ["row", "chunk"]).mapInPandas(trace, _OUT))
+    return with_id(one.unionByName(parts.drop("m", "g", "groups").join(bounds, ["row", "chunk"]).mapInPandas(trace, _OUT)))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -470,7 +470,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         raw = b"".join(v.decode(ids) for ids in frame["ids"])
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1], "row": frame["row"].iloc[:1], "text": [raw[1:].decode("utf-8", "surrogatepass")]})
 
-    return encoded.groupBy("row").applyInPandas(join, "doc_id long, row long, text string")
+    return with_id(with_id_text(encoded).groupBy("row").applyInPandas(join, "doc_id string, row long, text string"))
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -34,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 
+def with_id_text(docs: DataFrame) -> DataFrame:
+    """doc_id as text, to go through pandas, which turns whole numbers beside nulls into floats; `with_id` turns it back."""
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def with_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that `written` gave, once all that was read from them is written itself."""
     for table in tables:

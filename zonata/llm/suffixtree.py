@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, documents, hashed_part, pieces, shared_dir, written
+from .shared import discard, documents, hashed_part, pieces, shared_dir, with_id_text, written
 
 #: Bytes of the longest context, of the contexts that every task has, and by which subtrees are dealt out.
 DEPTH, SHORT, TOGETHER, END = 6, 2, 3, b"\n"
@@ -351,8 +351,8 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
                 "grams": [g for g, _ in grams_left], "seen": [c for _, c in grams_left],
             })
 
-    schema = "doc_id long, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<int>"
-    first = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
+    schema = "doc_id string, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<int>"
+    first = written(with_id_text(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     looked = rare.join(counts.where(~frequent), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
@@ -361,7 +361,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
     left = left.join(told.where(~often).select("gram", "lp"), "gram").groupBy("row").agg(F.sum(F.col("seen") * F.col("lp")).alias("rare_lp"))
     per = F.lit(float(np.log10(n_all + 0.1 * (v + 1))))
     return first.drop("rare", "times", "grams", "seen").join(looked, "row", "left").join(left, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_usual") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", (F.col("n_usual") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("usual") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"),
         (F.col("score") + F.coalesce("rare_lp", F.lit(0.0))).alias("score"),
     )
