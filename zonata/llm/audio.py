@@ -2,7 +2,8 @@
 
 `encode` stores bytes without loss as one-channel WAV (a byte is a sample). `read_back` returns the stored samples. `features`
 resamples them by a polyphase filter, takes overlapped log-mel filterbank frames, and marks spans of energy with hysteresis.
-`clips` gives fixed-shape tensors (CLIP_FRAMES x BANDS) with their time spans.
+`clips` writes fixed-shape Arrow tensors (CLIP_FRAMES x BANDS, 16-bit floats) with their time spans, a stream of clips for each
+document; `describe` reads these again and derives the feature digest from them.
 
 Defined results: null texts count as empty; an empty text is one block of 192 spaces; equal bytes give equal values; a text of
 any length is worked on in blocks of frames. Repeated rows get a row each, an empty table gives none.
@@ -11,6 +12,7 @@ any length is worked on in blocks of frames. Repeated rows get a row each, an em
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,13 +21,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import documents, pieces, written
+from .shared import documents, pieces, with_id, with_id_text, written
 
 BLOCK = 192
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
 FRAME, HOP, FFT, BANDS = 200, 80, 256, 20
 CLIP_FRAMES = 64
+#: Seconds from frame to frame.
+STEP = HOP / (RATE * UP / DOWN)
 #: Energy gates: deviations above and below the mean level at which a span opens and closes.
 OPEN, CLOSE = 0.5, -0.5
 
@@ -127,66 +132,77 @@ def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the stored form, to be written as a table."""
-    return docs.select("doc_id", "text").mapInPandas(_stored, "doc_id long, n_bytes long, media binary")
-
-
-def tensors(values: list[np.ndarray]) -> pa.Array:
-    """Clips as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (CLIP_FRAMES, BANDS))
-    flat = pa.array(np.concatenate([v.ravel() for v in values]) if values else np.empty(0, np.float32), pa.float32())
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, CLIP_FRAMES * BANDS))
+    return with_id(with_id_text(docs.select("doc_id", "text")).mapInPandas(_stored, "doc_id string, n_bytes long, media binary"))
+
+
+def tensors(mel: np.ndarray, marked: np.ndarray) -> bytes:
+    """Clips of CLIP_FRAMES frames as an Arrow stream: `tensor` of Arrow's fixed-shape tensor type (CLIP_FRAMES, BANDS), the last
+    clip filled up with zeros; `frames`, those of its own; `start_s` and `end_s`, its time span; `active`, its frames within spans
+    of energy; `opened`, the spans that start in it."""
+    n = -(-len(mel) // CLIP_FRAMES)
+    whole = np.zeros((n * CLIP_FRAMES, BANDS), np.float16)
+    whole[: len(mel)] = mel
+    kind = pa.fixed_shape_tensor(pa.float16(), (CLIP_FRAMES, BANDS))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(whole.ravel(), pa.float16()), CLIP_FRAMES * BANDS)
+    active, opened = np.zeros(n * CLIP_FRAMES + 1, np.int64), np.zeros(n * CLIP_FRAMES, np.int64)
+    np.add.at(active, marked[:, 0], 1)
+    np.add.at(active, marked[:, 1], -1)
+    np.add.at(opened, marked[:, 0], 1)
+    first, own = np.arange(n) * CLIP_FRAMES, np.minimum(CLIP_FRAMES, len(mel) - np.arange(n) * CLIP_FRAMES)
+    batch = pa.record_batch({
+        "tensor": pa.ExtensionArray.from_storage(kind, flat), "frames": pa.array(own, pa.int32()), "start_s": first * STEP, "end_s": (first + own) * STEP,
+        "active": pa.array(np.cumsum(active)[:-1].reshape(n, -1).sum(1), pa.int32()), "opened": pa.array(opened.reshape(n, -1).sum(1), pa.int32()),
+    })
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, pa.RecordBatch]:
+    """The frames of all clips, (frames, BANDS), and the clips as stored."""
+    batch = pa.ipc.open_stream(stored).read_next_batch()
+    mel = batch.column("tensor").storage.flatten().to_numpy().reshape(-1, BANDS)
+    return mel[: int(batch.column("frames").to_numpy().sum())], batch
 
 
 def _clips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    step = HOP / (RATE * UP / DOWN)
-    for part in pieces(frames, "media", 2_000_000):
+    for part in pieces(frames, "media", 4_000_000):
         rows = []
-        for doc_id, media in zip(part["doc_id"], part["media"], strict=True):
-            mel, marked = features(read_back(media))
-            active = np.zeros(len(mel) + 1, np.int64)
-            for a, b in marked:
-                active[a] += 1
-                active[b] -= 1
-            active = np.cumsum(active)[:-1]
-            for at in range(0, len(mel), CLIP_FRAMES):
-                clip = mel[at : at + CLIP_FRAMES]
-                n = len(clip)
-                clip = np.pad(clip, ((0, CLIP_FRAMES - n), (0, 0)))
-                rows.append((doc_id, at // CLIP_FRAMES, at * step, (at + n) * step, float(active[at : at + n].mean()), clip.ravel()))
-        yield pd.DataFrame(rows, columns=["doc_id", "clip", "start_s", "end_s", "active", "tensor"])
+        for doc_id, n_bytes, media in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
+            payload = read_back(media)
+            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), tensors(*features(payload))))
+        yield pd.DataFrame(rows, columns=[*DIGESTS, "clips"])
+
+
+DIGESTS = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+_SCHEMA = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """One row per clip: its time span, the share of active frames and its tensor, CLIP_FRAMES * BANDS floats by row."""
-    schema = "doc_id long, clip int, start_s double, end_s double, active double, tensor array<float>"
-    return media.select("doc_id", "media").mapInPandas(_clips, schema)
+    """Sizes and hashes of each stored form, and clips: its tensors with their time spans, to be written as a table."""
+    return with_id(with_id_text(media).select("doc_id", "n_bytes", "media").mapInPandas(_clips, f"{_SCHEMA}, clips binary"))
 
 
-def digest(samples: bytes) -> str:
-    """Frames, spans, active frames and mean log-mel by band, to three digits."""
-    mel, marked = features(samples)
+def digest(stored: bytes) -> str:
+    """Frames, spans, active frames and mean log-mel by band, to three digits, of stored clips."""
+    mel, batch = read_tensors(stored)
     means = ",".join(f"{v:.3f}" for v in mel.mean(0, dtype=np.float64) + 0.0)
-    active = int((marked[:, 1] - marked[:, 0]).sum()) if len(marked) else 0
-    return f"frames={len(mel)};spans={len(marked)};active={active};mel={means}"
+    total = lambda name: int(batch.column(name).to_numpy().sum())
+    return f"frames={len(mel)};spans={total('opened')};active={total('active')};mel={means}"
 
 
-def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in pieces(frames, "media", 4_000_000):
-        rows = []
-        for doc_id, n_bytes, media in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
-            payload = read_back(media)
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest(payload)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def describe(stored: DataFrame) -> DataFrame:
+    """Sizes, hashes and the feature digest of the stored clips."""
 
+    def digests(column: pd.Series) -> pd.Series:
+        return pd.Series([digest(x) for x in column])
 
-def describe(media: DataFrame) -> DataFrame:
-    """Sizes, hashes and the feature digest of each stored form."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(_described, schema)
+    return stored.select(*DIGESTS, F.pandas_udf(digests, "string")("clips").alias("feature"))
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(written(store(documents(spark, sf_dir)), "media"))
+    return describe(written(clips(written(store(documents(spark, sf_dir)), "media")), "clips"))
 
 
 QUERIES = {"op5_audio": op5_audio}
