@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, pieces
+from .shared import documents, pieces, with_id, with_id_text, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Rules in the order of their bits: name and the condition under which a document fails, over the measurements.
@@ -93,8 +93,8 @@ def failed_bits() -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and failed (long): bit i is set if rule i fails."""
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.select("doc_id", "text").mapInPandas(_measured, schema).withColumn("failed", failed_bits())
+    schema = "doc_id string, " + ", ".join(f"{m} long" for m in MEASURES)
+    return with_id(with_id_text(docs.select("doc_id", "text")).mapInPandas(_measured, schema)).withColumn("failed", failed_bits())
 
 
 def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -116,7 +116,7 @@ def ablations(book: DataFrame, version: int = CURRENT) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = apply_policy(ledger(documents(spark, sf_dir)))
+    out = apply_policy(written(ledger(documents(spark, sf_dir)), "ledger"))
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed")
 
