@@ -39,7 +39,7 @@ LEAST, DEVIATIONS = 4, 3.0
 #: Weight of the suffix's distribution, in counts; counts that each symbol has in the root beforehand.
 MU, _ROOT = 4.0, 0.5
 #: Grams of which probabilities are broadcast, at most; those are the most frequent ones. All others are joined.
-USUAL = 500_000
+USUAL = 1_500_000
 #: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
 #: Rows that a task takes at once, but for the rest of the last subtree.
