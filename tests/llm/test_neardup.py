@@ -68,7 +68,7 @@ def test_a_template_makes_few_pairs(spark):
         own[rng.randrange(400, 460)] = "changed"
         rows.append((d, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    ids = spark.createDataFrame([(d, len(set(zip(w := t.split(), w[1:], w[2:], strict=False))), d) for d, t in rows], "id long, n long, component long")
+    ids = N.sketches(df, 3).selectExpr("doc_id as id", "n_shingles as n", "doc_id as component", "bits", "odd")
     assert {(r["a"], r["b"]) for r in N.by_rare_shingles(ids, df, 3, 85).collect()} == {(5, 900), (77, 901)}
     got = held(N.link(spark, df, 3, 85))
     assert {d: c for d, (_, c, _) in got.items() if c != d} == {900: 5, 901: 77}

@@ -166,7 +166,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
 
 def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: pairs of ids (id, n, component) of different components, all those among them that are similar enough."""
+    """a, b: pairs of ids (id, n, component, bits, odd) of different components, all those among them that are similar enough."""
 
     def sets(text: pd.Series) -> pd.Series:
         shingles = Shingler(n)
@@ -180,9 +180,9 @@ def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     alone = F.col("n") - F.size("p")
     smaller = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 - alone
     larger = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
-    side = lambda x, k: ordered.select(F.explode(F.slice("p", F.lit(1), F.greatest(k, F.lit(0)).cast("int"))).alias("s"), F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"component_{x}"))
+    side = lambda x, k: ordered.select(F.explode(F.slice("p", F.lit(1), F.greatest(k, F.lit(0)).cast("int"))).alias("s"), F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "bits", "odd")))
     met = side("a", smaller).join(side("b", larger), "s").where(
-        (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "a") < F.struct("n_b", "b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+        (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "a") < F.struct("n_b", "b")) & _close(percent)
     )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -214,7 +214,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
                 (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _close(percent)
                 & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("v"))  # of all lists that hold a pair, one gives it
             ).select("a", "b")
-            wide = written(still.where(F.col("m") > SMALL).select("id", "component").distinct().join(classes.select("id", "n"), "id"), "wide")
+            wide = written(still.where(F.col("m") > SMALL).select("id", "component").distinct().join(classes.select("id", "n", "bits", "odd"), "id"), "wide")
             if not wide.isEmpty():
                 pairs = pairs.unionByName(by_rare_shingles(wide, docs, n, percent)).distinct()
         else:
