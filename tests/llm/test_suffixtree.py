@@ -77,6 +77,14 @@ def test_distributions_sum_to_one(unique):
         assert math.isclose(sum(plain.p(ctx, s) for s in range(256)), 1)
 
 
+def test_grams_are_the_units_symbols(data):
+    texts = [t for _, t, *_ in data] + [None, "", " a  b\tccc ", "\u00e9 x " * 3, "one " + "y" * 50]
+    codes, sizes = S.grams(texts)
+    want = [[ctx[::-1] + bytes([s]) for u in own_units(t) for ctx, s in Plain.symbols(u)] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert codes.tolist() == [int.from_bytes(g, "big") for w in want for g in w]
+
+
 def test_table():
     keys = np.random.default_rng(1).integers(0, 1 << 48, 5000)
     keys = np.unique(keys)
@@ -105,5 +113,5 @@ def test_the_tree_grows_with_the_input(spark):
         told = {r["gram"]: r["lp"] for r in S.probabilities(spark, docs, F.lit(True)).collect()}
         for w in words:
             unit = w[-S.TAIL :] + b" " + w
-            codes, _ = S.grams([unit])
+            codes = S.grams([f"{w.decode()} {w.decode()}"])[0][len(w) + 1 : 2 * len(w) + 2]  # the second word's
             assert all(math.isclose(told[c], math.log10(plain.p(*x)), rel_tol=1e-9) for c, x in zip(codes.tolist(), plain.symbols(unit), strict=True))

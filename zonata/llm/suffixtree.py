@@ -20,8 +20,9 @@ Repeated rows get a row each. Other columns are not looked at. An empty table gi
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -50,33 +51,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def units(text: str | None) -> list[bytes]:
-    """For each token of the text: the last bytes of the one before, a space, the token."""
-    words = [*tokens(text), END]
-    return [before[-TAIL:] + b" " + w for before, w in zip([b"", *words], words)]  # noqa: B905
-
-
-def _counted(frames: Iterator[pd.DataFrame], split: Callable[[str | None], list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Different items of many texts, their occurrences in all of these and in those to learn from."""
-    learnt: Counter[bytes] = Counter()
-    others: Counter[bytes] = Counter()
-
-    def out() -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        items = [*learnt, *others.keys() - learnt.keys()]
-        n = np.fromiter(map(learnt.__getitem__, items), np.int64, len(items))
-        return items, n + np.fromiter(map(others.__getitem__, items), np.int64, len(items)), n
-
-    for part in pieces(frames, "text", 4_000_000):
-        for t, learn in zip(part["text"], part["learn"], strict=True):
-            (learnt if learn else others).update(split(t))
-        if len(learnt) + len(others) > 500_000:
-            yield out()
-            learnt.clear()
-            others.clear()
-    if learnt or others:
-        yield out()
-
-
 def _told_apart(docs: DataFrame, learn: Column) -> DataFrame:
     return docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn"))
 
@@ -85,35 +59,57 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
     """word (binary; END for the end) of all texts, n: occurrences in the texts to learn from."""
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for items, _, n in _counted(frames, lambda t: [*tokens(t), END]):
-            yield pd.DataFrame({"word": items, "n": n})
+        learnt: Counter[bytes] = Counter()
+        others: Counter[bytes] = Counter()
+        for part in chain(pieces(frames, "text", 4_000_000), [None]):
+            if part is not None:
+                for t, learn in zip(part["text"], part["learn"], strict=True):
+                    (learnt if learn else others).update([*tokens(t), END])
+            if part is None or len(learnt) + len(others) > 500_000:
+                yield pd.DataFrame({"word": [*learnt, *others], "n": [*learnt.values(), *([0] * len(others))]})
+                learnt.clear()
+                others.clear()
 
     return _told_apart(docs, learn).mapInPandas(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def grams(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A code for each symbol of the units' words, and the number of symbols of each. A code holds the DEPTH bytes before the
-    symbol, the last one first, and the symbol; spaces stand before a unit's start."""
-    pad = b" " * DEPTH
-    whole = [pad + (u if u.endswith(END) else u + b" ") for u in units]
+def grams(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each symbol of the texts, one text after another, and the number of symbols of each. A code holds the DEPTH
+    bytes before the symbol, the last one first, and the symbol; spaces stand before a unit's start."""
+    whole = [b" " * 7 + b" ".join([*tokens(t), END]) for t in texts]
+    sizes = np.fromiter(map(len, whole), np.int64, len(whole)) - 7
+    if not whole:
+        return np.empty(0, np.int64), sizes
     b = np.frombuffer(b"".join(whole), np.uint8)
-    sizes = np.fromiter((1 if u.endswith(END) else len(u) - u.index(b" ") for u in units), np.int64, len(units))
-    first = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole))) - sizes
-    at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    codes = b[at].astype(np.uint64)
-    for k in range(DEPTH):
-        codes |= b[at - 1 - k].astype(np.uint64) << np.uint64(8 * (DEPTH - k))
-    return codes.view(np.int64), sizes
+    # eight bytes up to each symbol at once, the symbol in the highest place
+    codes = np.ndarray(len(b) - 7, "<u8", b.data, strides=(1,))
+    codes = codes << np.uint64(8) >> np.uint64(8 * (8 - DEPTH)) << np.uint64(8) | codes >> np.uint64(56)
+    first = np.flatnonzero((b[7:] != 32) & (b[6:-1] == 32))  # codes of the words' first symbols
+    length = np.diff(first, append=first[-1] + 1)
+    tail, on = np.zeros(len(first), np.int8), np.ones(len(first), bool)
+    for k in range(TAIL):
+        on &= b[first + 5 - k] != 32
+        tail += on
+    for t in range(TAIL + 1):
+        for j in range(DEPTH - t - 1):
+            at = first[(tail == t) & (length > j)] + j
+            before = 8 * (DEPTH - t - 1 - j) + 8  # all above the symbol and below this bit stands before the unit
+            codes[at] = codes[at] >> np.uint64(before) << np.uint64(before) | codes[at] & np.uint64(255) | np.uint64(0x2020202020202000 & (1 << before) - 1)
+    keep = np.ones(len(codes), bool)
+    for k in range(7):
+        keep[np.cumsum(sizes + 7)[:-1] - 7 + k] = False
+    return codes[keep].view(np.int64), sizes
 
 
 def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """The different codes in order, and the sums of their counts."""
     if not len(codes):
         return codes, *counts
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
+    if not (codes[1:] >= codes[:-1]).all():
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], tuple(c[order] for c in counts)
     at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[at], *(np.add.reduceat(c[order], at) for c in counts)
+    return codes[at], *(np.add.reduceat(c, at) for c in counts)
 
 
 def gathered_up(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,20 +119,28 @@ def gathered_up(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...
     return different, *(np.bincount(at, c, len(different)).astype(np.int64) for c in counts)
 
 
+def counted(codes: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different codes in order, how often each occurs, and how often where learn is true."""
+    both = np.sort(codes << 1 | learn)
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    n = np.diff(at, append=len(both))
+    both = both[at]
+    return summed(both >> 1, n, n * (both & 1))
+
+
 def gram_counts(docs: DataFrame, learn: Column) -> DataFrame:
     """gram, u (occurrences in all texts), n (in the texts to learn from), summed by task alone."""
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
-        for items, u, n in _counted(frames, units):
-            for at in range(0, len(items), 100_000):
-                codes, sizes = grams(items[at : at + 100_000])
-                held.append(gathered_up(codes, np.repeat(u[at : at + 100_000], sizes), np.repeat(n[at : at + 100_000], sizes)))
-            held = [gathered_up(*map(np.concatenate, zip(*held, strict=True)))]
-            if len(held[0][0]) > 1_500_000:
-                yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
-        if held:
-            yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
+        for part in chain(pieces(frames, "text", 4_000_000), [None]):
+            if part is not None:
+                codes, sizes = grams(part["text"])
+                held.append(counted(codes, np.repeat(part["learn"].to_numpy(bool), sizes)))
+            if held and (part is None or sum(len(h[0]) for h in held) > 2_500_000):
+                held = [gathered_up(*map(np.concatenate, zip(*held, strict=True)))]
+                if part is None or len(held[0][0]) > 1_500_000:
+                    yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
 
     return _told_apart(docs, learn).mapInPandas(gathered, "gram long, u long, n long")
 
@@ -217,42 +221,47 @@ def levels(codes: np.ndarray, n: np.ndarray, base: Base) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Table:
-    """Open addressing: a 64-bit key to a float."""
+    """Open addressing: a key of up to 63 bits to a float. Each slot holds a key (-1: free) beside the bits of its value."""
 
-    keys: np.ndarray
-    values: np.ndarray
+    slots: np.ndarray
 
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.slots).bit_length() - 1
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
 
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
-        held, out = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float64)
-        left, at = np.arange(len(keys)), cls._slot(keys, bits)
+        slots = np.zeros((1 << max(4, int(np.ceil(np.log2(2 * len(keys) + 1)))), 2), np.int64)
+        slots[:, 0] = -1
+        out = cls(slots)
+        keys, values = np.ascontiguousarray(keys, np.int64), np.ascontiguousarray(values, np.float64).view(np.int64)
+        left, at = np.arange(len(keys)), out._slot(keys)
         while len(left):
-            free = held[at[left]] == -1
+            free = slots[at[left], 0] == -1
             first = np.unique(at[left[free]], return_index=True)[1]
             put = left[free][first]
-            held[at[put]], out[at[put]] = keys[put], values[put]
-            left = left[held[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (len(held) - 1)
-        return cls(held, out)
+            slots[at[put], 0], slots[at[put], 1] = keys[put], values[put]
+            left = left[slots[at[left], 0] != keys[left]]
+            at[left] = (at[left] + 1) & (len(slots) - 1)
+        return out
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and its value (0 if not)."""
-        at = self._slot(keys, int(np.log2(len(self.keys))))
-        got = self.keys[at]
-        there, values = got == keys, self.values[at]
-        left = np.flatnonzero(~there & (got != -1))
-        values[~there] = 0
-        while len(left):
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            got = self.keys[at[left]]
-            hit = got == keys[left]
-            there[left[hit]], values[left[hit]] = True, self.values[at[left[hit]]]
-            left = left[~hit & (got != -1)]
+        there, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        for start in range(0, len(keys), 1 << 17):  # what a processor keeps close
+            part = keys[start : start + (1 << 17)]
+            at = self._slot(part)
+            got = self.slots.take(at, 0)
+            hit = got[:, 0] == part
+            there[start : start + len(part)] = hit
+            values[start : start + len(part)] = np.where(hit, got[:, 1].copy().view(np.float64), 0.0)
+            left = np.flatnonzero(~hit & (got[:, 0] != -1))
+            while len(left):
+                at[left] = (at[left] + 1) & (len(self.slots) - 1)
+                got = self.slots.take(at[left], 0)
+                hit = got[:, 0] == part[left]
+                there[start + left[hit]], values[start + left[hit]] = True, got[hit, 1].copy().view(np.float64)
+                left = left[~hit & (got[:, 0] != -1)]
         return there, values
 
 
@@ -324,30 +333,20 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, table = sent.value
         for part in pieces(frames, "text", 1_000_000):
-            own = [units(t) for t in part["text"]]
-            number: dict[bytes, int] = {}
-            at = [np.fromiter((number.setdefault(u, len(number)) for u in x), np.int64, len(x)) for x in own]
-            # what each different unit adds
-            n = np.fromiter((known.get(u[u.index(b" ") + 1 :], 0) for u in number), np.int64, len(number))
+            own = [[*tokens(t), END] for t in part["text"]]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            starts = np.cumsum(lengths) - lengths
+            n = np.fromiter(map(known.get, chain.from_iterable(own), repeat(0)), np.int64, lengths.sum())
             base, is_known = np.where(n > 0, np.log10(n + 0.1), 0.0), n > 0
-            codes, sizes = grams(list(number))
+            codes, sizes = grams(part["text"])
             there, lp = table.get(codes)
-            ends = np.cumsum(sizes)
-            told_here, missing = np.add.reduceat(lp, ends - sizes), np.concatenate(([0], np.cumsum(~there)))[np.append(0, ends)]
-            gone = codes[~there]
-            lengths = np.array([len(a) for a in at])
-            every, starts = np.concatenate(at), np.cumsum(lengths) - lengths
-            names, rare, grams_left = list(number), [], []
-            counts_left = np.diff(missing)
-            for a in at:
-                rare.append(Counter([names[i][names[i].index(b" ") + 1 :] for i in a[~is_known[a]].tolist()]))
-                a = a[counts_left[a] > 0]
-                k = counts_left[a]
-                left = gone[np.repeat(missing[a] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-                grams_left.append(np.unique(left, return_counts=True))
+            first, rare, grams_left = np.cumsum(sizes) - sizes, [], []
+            for i, (at, k, code, m) in enumerate(zip(starts, lengths, first, sizes, strict=True)):
+                rare.append(Counter([own[i][j] for j in np.flatnonzero(~is_known[at : at + k]).tolist()]))
+                grams_left.append(np.unique(codes[code : code + m][~there[code : code + m]], return_counts=True))
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": lengths, "n_usual": np.add.reduceat(is_known[every].astype(np.int64), starts),
-                "usual": np.add.reduceat(base[every], starts), "score": np.add.reduceat(told_here[every], starts), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
+                "doc_id": part["doc_id"].to_numpy(), "row": part["row"].to_numpy(), "n_tokens": lengths, "n_usual": np.add.reduceat(is_known.astype(np.int64), starts),
+                "usual": np.add.reduceat(base, starts), "score": np.add.reduceat(lp, first), "rare": [list(r.keys()) for r in rare], "times": [list(r.values()) for r in rare],
                 "grams": [g for g, _ in grams_left], "seen": [c for _, c in grams_left],
             })
 
