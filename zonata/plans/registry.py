@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, geometry, masks, profile, raster, records, spatial, statistics
+from . import catalog, files, geometry, masks, profile, raster, records, regions, spatial, statistics
 
-_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial, records)
+_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial, records, files, regions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
