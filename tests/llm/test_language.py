@@ -47,3 +47,10 @@ def test_edges(spark, docs_repeated, none, docs, data):
         assert (out[d]["lang_pred"] == "und") == (not any(ch.isalpha() for ch in t or ""))
     assert L.predict(spark, none, model).count() == 0
     assert {r["lang_pred"] for r in L.predict(spark, docs, L.train(none)).collect()} == {"und"}
+
+
+def test_large_ids_beside_null(spark, docs):
+    large = (1 << 62) + 1
+    given = spark.createDataFrame([(large, "some words", large), (None, None, None)], "doc_id long, text string, n_chars long")
+    got = L.predict(spark, given.coalesce(1), L.train(docs), "n_chars").collect()
+    assert {(r["doc_id"], r["n_chars"]) for r in got} == {(large, large), (None, None)}

@@ -112,7 +112,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *carry: str) ->
     """doc_id, lang_pred, score, ambiguous and the carried columns; looks at the text alone."""
     # bounded: BINS * bits floats, whatever the input
     sent = spark.sparkContext.broadcast(model)
-    keep = docs.select("doc_id", "text", *carry)
+    given = docs.select("doc_id", "text", *carry)
+    # long numbers as text: pandas would turn those beside a null into floats
+    longs = {c for c, t in given.dtypes if t == "bigint"}
+    keep = given.select(*(F.col(c).cast("string").alias(c) if c in longs else c for c in given.columns))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema if f.name != "text")
 
     def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +136,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *carry: str) ->
             names = np.array([*m.langs, "und"], object)
             yield out.assign(lang_pred=np.where(told, names[best], "und"), score=np.where(told, share, 0.0), ambiguous=near & told)
 
-    return keep.mapInPandas(predicted, fields + ", lang_pred string, score double, ambiguous boolean")
+    out = keep.mapInPandas(predicted, fields + ", lang_pred string, score double, ambiguous boolean")
+    return out.select(*(F.col(c).cast("long").alias(c) if c in longs else c for c in out.columns))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
