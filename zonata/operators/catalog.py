@@ -103,3 +103,14 @@ def greedy_assignment(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
             return reduce(DataFrame.unionByName, taken) if taken else left
         taken.append(won)
         left = left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").checkpoint()
+
+
+def pair_masks(files: DataFrame, name: str) -> DataFrame:
+    """image, mask, kind (manual: <image>_mask.<ext>, auto: <image>_auto<anything>.<ext>): every mask with its image.
+
+    Files without a partner are left out; equal names are one file."""
+    at = files.select(F.col(name).alias("f")).distinct()
+    at = at.withColumn("kind", F.when(F.col("f").rlike(r"_mask\.\w+$"), "manual").when(F.col("f").rlike(r"_auto[^_/]*\.\w+$"), "auto").otherwise("image"))
+    at = at.withColumn("stem", F.regexp_replace("f", r"(_mask|_auto[^_/]*)?\.\w+$", ""))
+    masks = at.where("kind <> 'image'").select("stem", F.col("f").alias("mask"), "kind")
+    return at.where("kind = 'image'").select("stem", F.col("f").alias("image")).join(masks, "stem").select("image", "mask", "kind")

@@ -94,6 +94,18 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
 
 
+def segment_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of a point from a ring's border."""
+
+    def one(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.coalesce(F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.hypot(p["x"] + t * dx - x, p["y"] + t * dy - y)
+
+    return F.array_min(F.zip_with(ring, _next(ring), one))
+
+
 def _points(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
 
