@@ -55,7 +55,7 @@ def _arrays(spark, sf_dir):
     total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     top = F.array_position("embedding", F.array_max("embedding")) - 1
     d = tables.table(spark, sf_dir, "embeddings").select("vec_id", total(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("dot"), F.sqrt(total(e, e)).alias("norm"), top.alias("i"))
-    return rounded(d.select("vec_id", "dot", "norm", F.expr("i div 8").alias("y"), (F.col("i") % 8).alias("x")))
+    return rounded(d.select("vec_id", "dot", "norm", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x")))
 
 
 def _flat(spark, sf_dir):
