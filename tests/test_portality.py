@@ -1,10 +1,13 @@
 """Contours, portality maps and vessels on small shapes."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from zonata.operators import catalog as L
+from zonata.operators import components as C
 from zonata.operators import portality as P
 from zonata.operators import spatial as S
 
@@ -61,3 +64,27 @@ def test_split_vessels(spark):
     got = S.split_vessels(faces, vessels, [], 8.0)
     assert {r["geom_id"]: r["is_vessel"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False}
     assert {r["is_vessel"] for r in S.split_vessels(faces, vessels.limit(0), [], 8.0).select(F.col("is_vessel")).collect()} == {False}
+
+
+def test_shapes_are_matched_as_one_by_one(spark):
+    """Against taking the cheapest pair of all, again and again; turned, grown and shifted shapes cost nothing."""
+    C.shared(spark)
+    rng = random.Random(3)
+
+    def star(n):
+        return [(rng.uniform(2, 6) * math.cos(2 * math.pi * k / n), rng.uniform(2, 6) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    shapes = {i: star(9) for i in range(12)}
+    turned = {100: [(-2 * y + 1, 2 * x - 1) for x, y in shapes[4]]}
+    table = lambda d, c: spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in d.items()], f"{c} int, ring array<struct<x: double, y: double>>")
+    left = table({i: r for i, r in shapes.items() if i < 6}, "geom_id")
+    right = table({i: r for i, r in shapes.items() if i >= 6} | turned, "other_id")
+    pairs = S.shape_pairs(left, right, [], 5.0)
+    costs = {(r["geom_id"], r["other_id"]): r["cost"] for r in pairs.collect()}
+    assert len(costs) == 6 * 7 and costs[4, 100] < 1e-9
+    want = {}
+    while costs:
+        best = min(costs, key=lambda k: (costs[k], k))
+        want[best] = costs[best]
+        costs = {k: v for k, v in costs.items() if k[0] != best[0] and k[1] != best[1]}
+    assert {(r["geom_id"], r["other_id"]) for r in L.greedy_assignment(pairs, "geom_id", "other_id", "cost").collect()} == set(want)

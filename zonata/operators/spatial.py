@@ -74,3 +74,22 @@ def split_vessels(faces: DataFrame, vessels: DataFrame, keys: list[str], size: f
     held = F.forall("ring", lambda p: G.contains_point(F.col("__r"), p["x"], p["y"]) | (G.segment_distance(F.col("__r"), p["x"], p["y"]) <= reach))
     found = near.where(held).select(*keys, id).distinct().withColumn("is_vessel", F.lit(True))
     return faces.join(found, [*keys, id], "left").withColumn("is_vessel", F.coalesce("is_vessel", F.lit(False)))
+
+
+def shape_numbers(ring: Column) -> Column:
+    """Array of two numbers of a ring's vertices about their mean, over its area: they stay under shifts, turns and scale."""
+    n = F.size(ring)
+    total = lambda f: F.aggregate(F.transform(ring, f), F.lit(0.0), lambda s, v: s + v)
+    mean = lambda f: total(f) / n
+    mx, my = mean(lambda p: p["x"]), mean(lambda p: p["y"])
+    xx, yy = mean(lambda p: p["x"] * p["x"]) - mx * mx, mean(lambda p: p["y"] * p["y"]) - my * my
+    xy, a = mean(lambda p: p["x"] * p["y"]) - mx * my, G.area(ring)
+    return F.array(F.try_divide(xx + yy, a), F.try_divide(F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy), a))
+
+
+def shape_pairs(a: DataFrame, b: DataFrame, keys: list[str], size: float, id: str = "geom_id", other: str = "other_id") -> DataFrame:
+    """id, other, cost: how unlike two shapes are whose bounds meet. Numbers are found once a shape, before it is paired."""
+    left = a.select(*keys, id, "ring", shape_numbers(F.col("ring")).alias("__m"))
+    right = b.select(*keys, other, F.col("ring").alias("other"), shape_numbers(F.col("ring")).alias("__o"))
+    gap = lambda i: F.abs(F.col("__m")[i] - F.col("__o")[i])
+    return boxes_meet(left, right, keys, size, id, other).select(*keys, id, other, (gap(0) + gap(1)).alias("cost")).where("cost is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as L
+from ..operators import components as C
 from ..operators import geometry as G
 from ..operators import portality as P
 from ..operators import spatial as S
@@ -70,12 +71,20 @@ def _pairs(spark, sf_dir):
     return L.pair_masks(tables.table(spark, sf_dir, "orders").select(name.alias("file")), "file")
 
 
+def _matched(spark, sf_dir):
+    C.shared(spark)
+    s = _shapes(spark, sf_dir)
+    pairs = S.shape_pairs(s.where("kind = 0"), s.where("kind = 1").select(F.col("geom_id").alias("other_id"), "ring"), [], _SIZE)
+    return rounded(L.greedy_assignment(pairs, "geom_id", "other_id", "cost"), 6)
+
+
 QUERIES = {
     "r33_portality_map": _map,
     "a29_geometry_measures": _measures,
     "j10_roi_minus_annotations": _roi,
     "j4_split_vessel_faces": _split,
     "r14_trace_contours": _contours,
+    "j15_roi_matching": _matched,
     "r38_microsteatosis_mask": lambda spark, sf_dir: P.fine_mask(tables.pixels(spark, sf_dir), _K, 60, 200),
     "s23_scan_masked_region": _masked,
     "s18_pair_image_masks": _pairs,
