@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, mixing, neardup, quality, repeats, secrets, sentencepieces, suffixtree, tokenfiles
+from . import alignment, audio, language, mixing, neardup, quality, repeats, secrets, sentencepieces, suffixtree, tokenfiles
 
-_MODULES = (mixing, quality, tokenfiles, secrets, audio, repeats, sentencepieces, suffixtree, neardup, language)
+_MODULES = (mixing, quality, tokenfiles, secrets, audio, repeats, sentencepieces, suffixtree, neardup, language, alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
