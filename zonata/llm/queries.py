@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, audio, language, mixing, neardup, periods, quality, repeats, secrets, sentencepieces, suffixtree, tokenfiles
+from . import alignment, audio, language, mixing, neardup, periods, quality, repeats, secrets, sentencepieces, suffixtree, tokenfiles, warc
 
-_MODULES = (mixing, quality, tokenfiles, secrets, audio, repeats, sentencepieces, suffixtree, neardup, language, periods, alignment)
+_MODULES = (mixing, quality, tokenfiles, secrets, audio, repeats, sentencepieces, suffixtree, neardup, language, periods, alignment, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
