@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, files, geometry, lobules, masks, profile, raster, records, regions, spatial, statistics
+from . import catalog, files, geometry, lobules, masks, profile, raster, records, regions, slides, spatial, statistics
 
-_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial, records, files, regions, lobules)
+_MODULES = (profile, statistics, geometry, raster, catalog, masks, spatial, records, files, regions, lobules, slides)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

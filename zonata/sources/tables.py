@@ -73,6 +73,44 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, RGB)
 
 
+#: Slides are mosaics of 4 x 4 cells of 16 pixels, one cell for each embedding: its texture, and a disc of 5 to 10 pixels in the
+#: cell's middle, so that large neighbours touch. Cells of the last slide without an embedding are 0.
+SLIDE_PIXELS = """
+select image_id, cast(16 * (cell div 4) + p div 16 as int) as y, cast(16 * (cell % 4) + p % 16 as int) as x,
+  coalesce(cast(floor(abs(cast(embedding[p div 16 % 8 * 8 + p % 8] as double)) * 1000) as int) % 256, 0) as v
+from (select image_id, cell, embedding from (select distinct vec_id div 16 as image_id, cell from {embeddings} lateral view explode(sequence(0, 15)) c as cell)
+  left join {embeddings} on vec_id = 16 * image_id + cell) lateral view explode(sequence(0, 255)) t as p
+"""
+SLIDE_PIXELS_DUCK = """
+select image_id, cast(16 * (cell // 4) + p // 16 as integer) as y, cast(16 * (cell % 4) + p % 16 as integer) as x,
+  coalesce(cast(floor(abs(cast(embedding[(p // 16 % 8 * 8 + p % 8) + 1] as double)) * 1000) as integer) % 256, 0) as v
+from (select distinct vec_id // 16 as image_id from embeddings) i cross join (select unnest(range(16)) as cell) c
+  left join embeddings on vec_id = 16 * image_id + cell cross join (select unnest(range(256)) as p) t
+"""
+DISCS = """
+select distinct image_id, cast(16 * cy + 8 + p div 21 - 10 as int) as y, cast(16 * cx + 8 + p % 21 - 10 as int) as x
+from (select vec_id div 16 as image_id, vec_id % 16 div 4 as cy, vec_id % 4 as cx,
+  least(10, 5 + floor(abs(cast(embedding[0] as double)) * 20)) as r from {embeddings}) lateral view explode(sequence(0, 440)) t as p
+where pow(p div 21 - 10, 2) + pow(p % 21 - 10, 2) < r * r and 16 * cy + 8 + p div 21 - 10 between 0 and 63 and 16 * cx + 8 + p % 21 - 10 between 0 and 63
+"""
+DISCS_DUCK = """
+select distinct image_id, cast(16 * cy + 8 + p // 21 - 10 as integer) as y, cast(16 * cx + 8 + p % 21 - 10 as integer) as x
+from (select vec_id // 16 as image_id, vec_id % 16 // 4 as cy, vec_id % 4 as cx,
+  least(10, 5 + floor(abs(cast(embedding[1] as double)) * 20)) as r from embeddings), (select unnest(range(441)) as p)
+where pow(p // 21 - 10, 2) + pow(p % 21 - 10, 2) < r * r and 16 * cy + 8 + p // 21 - 10 between 0 and 63 and 16 * cx + 8 + p % 21 - 10 between 0 and 63
+"""
+
+
+def slide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel table of 64 x 64 images, each of the textures of 16 embeddings."""
+    return sql(spark, sf_dir, SLIDE_PIXELS)
+
+
+def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask of the discs on the same images."""
+    return sql(spark, sf_dir, DISCS)
+
+
 POLYGONS = """
 select vec_id as geom_id, transform(sequence(0, 63), p -> named_struct('x', (10 + 10 * abs(cast(embedding[p] as double))) * cos(2 * pi() * p / 64),
   'y', (10 + 10 * abs(cast(embedding[p] as double))) * sin(2 * pi() * p / 64))) as ring
