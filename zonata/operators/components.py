@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def shared(spark: SparkSession) -> None:
@@ -15,38 +20,88 @@ def shared(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(there or f"file://{tempfile.mkdtemp(prefix='zonata-')}")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors, and forgets what the optimiser knew
+    about its columns, which a checkpoint carries on and doubles from round to round."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def runs(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, y, x0, x1, id: the maximal runs of pixels along x, so that the graph has one node a run, not a pixel."""
+    """keys, y, x0, x1: the maximal runs of pixels along x, so that the graph has one node a run, not a pixel."""
     line = Window.partitionBy(*keys, "y").orderBy("x")
     out = mask.select(*keys, "y", "x").distinct().withColumn("g", F.col("x") - F.row_number().over(line))
-    out = out.groupBy(*keys, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
-    return out.withColumn("id", F.struct("y", "x0"))
+    return out.groupBy(*keys, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
+
+
+#: Lines of a band, whose runs are put together by one task.
+BAND = 64
+
+
+def _joined(band: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """The runs of a band (y, x0, x1) with ly, lx: the first run in reading order of those they hang together with."""
+    band = band.sort_values(["y", "x0"])
+    y, x0, x1 = (band[c].tolist() for c in ("y", "x0", "x1"))
+    root = list(range(len(y)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    above = 0  # the first run of the line before that may still meet the next run
+    for i in range(len(y)):
+        while y[above] < y[i] - 1 or (y[above] == y[i] - 1 and x1[above] < x0[i] - reach):
+            above += 1
+        k = above
+        while k < i and y[k] == y[i] - 1 and x0[k] <= x1[i] + reach:
+            one, other = sorted((find(i), find(k)))
+            root[other] = one
+            k += 1
+    first = [find(i) for i in range(len(y))]
+    return band.assign(ly=[y[k] for k in first], lx=[x0[k] for k in first])
 
 
 def label(spark: SparkSession, mask: DataFrame, keys: list[str], connectivity: int = 8, rounds: int = 200) -> DataFrame:
-    """keys, y, x, label: a struct (y, x), the first pixel of the component in reading order.
+    """keys, y, x, label: a struct (y, x0), the first pixel of the component in reading order.
 
-    Runs of neighbouring lines are joined on the line and the overlap of their spans; labels shrink by the least neighbour's
-    and then that label's label.
+    Runs are put together within bands of lines, each by one task. What touches over a band's end makes a link between two bands'
+    parts; labels of linked parts shrink by the least neighbour's and then that label's label. Components within a band take no
+    round.
     """
     shared(spark)
-    r = runs(mask, keys).checkpoint()
     reach = 1 if connectivity == 8 else 0
-    up = r.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("other"))
-    link = r.join(up, [*keys, "y"]).where((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") >= F.col("x0") - reach)).select(*keys, F.col("id").alias("a"), F.col("other").alias("b"))
-    edges = link.unionByName(link.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = r.select(*keys, "id", F.col("id").alias("label")).checkpoint()
+    types = ", ".join(f"`{c}` {mask.schema[c].dataType.simpleString()}" for c in keys)
+    banded = runs(mask, keys).select(*keys, "y", "x0", "x1", F.floor(F.col("y") / BAND).alias("band"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _joined(pdf.drop(columns="band"), reach)
+
+    y, x = (mask.schema[c].dataType.simpleString() for c in "yx")
+    told = banded.groupBy(*keys, "band").applyInPandas(one, f"{types}, y {y}, x0 {x}, x1 {x}, ly {y}, lx {x}")
+    own = stored(told.select(*keys, "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("own")))
+    up = own.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("own").alias("b"))
+    low = own.where(F.pmod("y", F.lit(BAND)) == 0)
+    link = low.join(up, [*keys, "y"]).where((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") >= F.col("x0") - reach)).select(*keys, F.col("own").alias("a"), "b")
+    edges = stored(link.unionByName(link.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    pixels = lambda df, l: df.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), l.alias("label"))
+    if not edges.limit(1).count():
+        return pixels(own, F.col("own"))
+    labels = edges.select(*keys, F.col("a").alias("id"), F.col("a").alias("label")).distinct()
     for _ in range(rounds):
         near = edges.join(labels.select(*keys, F.col("id").alias("b"), "label"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        one = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("label").alias("before"), F.least("label", "least").alias("label"))
+        one_step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("label").alias("before"), F.least("label", "least").alias("label"))
         above = labels.select(*keys, F.col("id").alias("label"), F.col("label").alias("above"))
-        new = one.join(above, [*keys, "label"], "left").select(*keys, "id", "before", F.least("label", "above").alias("label")).checkpoint()
+        new = stored(one_step.join(above, [*keys, "label"], "left").select(*keys, "id", "before", F.least("label", "above").alias("label")))
         labels = new.select(*keys, "id", "label")
         if not new.where("before <> label").limit(1).count():
             break
     else:
         raise RuntimeError(f"labels did not settle in {rounds} rounds")
-    return r.join(labels, [*keys, "id"]).select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
+    return pixels(own.join(labels.withColumnRenamed("id", "own"), [*keys, "own"], "left"), F.coalesce("label", "own"))
 
 
 def hysteresis(spark: SparkSession, pixels: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
@@ -56,21 +111,46 @@ def hysteresis(spark: SparkSession, pixels: DataFrame, keys: list[str], low: flo
     return found.join(sure, [*keys, "label"], "left_semi").select(*keys, "y", "x")
 
 
+def envelope(x: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each x the least of (x - s)^2 + height(s) over the places s with a height (not NaN): the lower envelope of parabolas, in
+    two passes over the line. Without a height: NaN."""
+    place, depth = x[~np.isnan(height)].tolist(), height[~np.isnan(height)].tolist()
+    if not place:
+        return np.full(len(x), np.nan)
+    lowest, start = [0], [-math.inf]  # parabolas of the envelope, and from where each is the lowest
+    for q in range(1, len(place)):
+        while True:  # the first starts at minus infinity and stays
+            p = lowest[-1]
+            cut = (depth[q] + place[q] ** 2 - depth[p] - place[p] ** 2) / (2 * (place[q] - place[p]))
+            if cut > start[-1]:
+                break
+            lowest.pop()
+            start.pop()
+        lowest.append(q)
+        start.append(cut)
+    own = np.array(lowest)[np.searchsorted(start, x, side="right") - 1]
+    return (x - np.array(place)[own]) ** 2 + np.array(depth)[own]
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _envelopes(x: pd.Series, height: pd.Series) -> pd.Series:
+    return pd.Series([envelope(np.asarray(a, float), np.asarray(h, float)) for a, h in zip(x, height, strict=True)])
+
+
 def distance(mask: DataFrame, keys: list[str], v: str = "m") -> DataFrame:
     """keys, y, x, d: exact Euclidean distance to the nearest pixel of value 0 (null if there is none).
 
-    First along columns by two windows, then along rows: only columns nearer than the pixel's own bound are met.
+    First along columns by two windows, then along rows by lower envelopes: linear in a line's pixels both times.
     """
     col = Window.partitionBy(*keys, "x").orderBy("y")
     zero = F.when(F.col(v) == 0, F.col("y"))
     above = F.last(zero, ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(zero, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
     g = mask.select(*keys, "y", "x", F.least(F.col("y") - above, below - F.col("y")).alias("g"))
-    lines = g.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("l"))  # a line of a tile
-    far = F.lit(1 << 30)
-    best = lambda p: F.array_min(F.transform("l", lambda q: F.when(q["g"].isNull(), far).otherwise((q["x"] - p["x"]) * (q["x"] - p["x"]) + q["g"] * q["g"])))
-    out = lines.select(*keys, "y", F.explode(F.transform("l", lambda p: F.struct(p["x"].alias("x"), best(p).alias("d")))).alias("e")).select(*keys, "y", "e.x", "e.d")
-    return out.withColumn("d", F.when(F.col("d") < far, F.sqrt("d")))
+    line = F.sort_array(F.collect_list(F.struct("x", (F.col("g") * F.col("g")).cast("double").alias("g"))))  # a line of a tile
+    lines = g.groupBy(*keys, "y").agg(line.alias("l")).withColumn("d", _envelopes(F.transform("l", lambda e: e["x"].cast("double")), F.col("l.g")))
+    out = lines.select(*keys, "y", F.explode(F.arrays_zip(F.col("l.x").alias("x"), "d")).alias("e")).select(*keys, "y", "e.x", "e.d")
+    return out.withColumn("d", F.sqrt(F.when(~F.isnan("d"), F.col("d"))))
 
 
 def local_maxima(pixels: DataFrame, keys: list[str], radius: int, border: int = 0) -> DataFrame:
@@ -98,12 +178,12 @@ def thin(spark: SparkSession, mask: DataFrame, keys: list[str], rounds: int = 10
     b = sum((F.col(c) for c in ring), F.lit(0))
     a = sum((((F.col(c) == 0) & (F.col(n) == 1)).cast("int") for c, n in zip(ring, ring[1:] + ring[:1], strict=True)), F.lit(0))
     passes = ((("p2", "p4", "p6"), ("p4", "p6", "p8")), (("p2", "p4", "p8"), ("p2", "p6", "p8")))
-    left = mask.select(*keys, "y", "x").distinct().checkpoint()
+    left = stored(mask.select(*keys, "y", "x").distinct())
     for _ in range(rounds):
         before = left.count()
         for one, two in passes:
             goes = (b.between(2, 6)) & (a == 1) & (F.least(*one) == 0) & (F.least(*two) == 0)
-            left = _around(left, keys).where(~goes).select(*keys, "y", "x").checkpoint()
+            left = stored(_around(left, keys).where(~goes).select(*keys, "y", "x"))
         if left.count() == before:
             return left
     raise RuntimeError(f"thinning did not settle in {rounds} rounds")
