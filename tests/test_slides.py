@@ -196,3 +196,21 @@ def test_masked_tiles(spark):
             seen[r["row0"] + k // r["w"], r["col0"] + k % r["w"]] = v
     assert all(v == (value[p] if inside(p[0] + 0.5, p[1] + 0.5) else 255) for p, v in seen.items())
     assert {p for p in value if inside(p[0] + 0.5, p[1] + 0.5)} <= seen.keys() and (2, 2) not in {(r["tile_r"], r["tile_c"]) for r in got}
+
+
+def test_tiles_of_a_box():
+    made = lambda *box: list(tiles.TilesOfBox().eval(*box, 16))
+    assert made(0, 0, 15, 16) == [(0, 0), (0, 1)] and made(31, 5, 32, 5) == [(1, 0), (2, 0)]
+    assert made(40, 0, 15, 16) == [] and made(None, 0, 1, 1) == []
+
+
+def test_report_reads_chosen_sheets(spark, tmp_path):
+    from zonata.sources import files
+
+    rows = [("a", 1.5, "x_one"), ("b", None, "x_one"), ("c", 2.0, "y_two")]
+    files.write_sheets(spark.createDataFrame(rows, "attr string, mean double, sheet string"), str(tmp_path / "report"))
+    got = files.read_sheets(spark, str(tmp_path / "report"), "attr string, mean double", "^x_")
+    assert sorted(map(tuple, got.collect())) == [("a", 1.5, "x_one"), ("b", None, "x_one")]
+    assert "PartitionFilters: [isnotnull(sheet" in got._jdf.queryExecution().toString()
+    tagged = files.tagged(got, "^x_(.*)$", "tag", {"mean": "m"}, ("attr",))
+    assert tagged.columns == ["m", "tag"] and {r["tag"] for r in tagged.collect()} == {"one"}

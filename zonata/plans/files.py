@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import components as C
+from ..operators import stats
 from ..sources import files as S
 from ..sources import geojson as J
 from ..sources import tables
 from .records import _files
-from .statistics import rounded
+from .statistics import _LONG, _QCONT, _R, _long, rounded
 
 _D = tables.duck(tables.DISTANCES)
 _P = tables.POLYGON_POINTS_DUCK
@@ -80,7 +81,31 @@ def _paths(spark, sf_dir):
     return p.select("lobule", F.array_join(entries, ",").alias("paths"), F.array_join("missing", ",").alias("missing"))
 
 
+_SHEET = "attr string, mean double, std double, se double, se_ref double, median double, min double, max double, q1 double, q3 double, n long"
+
+
+def _report(spark, sf_dir) -> str:
+    """Descriptive statistics by species: a report with a sheet for each."""
+    path = _folder(spark, "report")
+    found = stats.descriptive(_long(tables.slide_stats(spark, sf_dir)), ["attr", "grp"])
+    S.write_sheets(found.withColumn("sheet", F.concat(F.lit("species-comparison_"), F.lower(F.replace("grp", F.lit(" "), F.lit("-"))))).select("attr", *(c.split()[0] for c in _SHEET.split(", ")[1:]), "sheet"), path)
+    return path
+
+
+def _sheets(spark, sf_dir):
+    return rounded(S.read_sheets(spark, _report(spark, sf_dir), _SHEET), 6, 2e-8)
+
+
+def _chosen(spark, sf_dir):
+    """Two species' sheets, without the columns that the sample sizes do not need."""
+    found = S.read_sheets(spark, _report(spark, sf_dir), _SHEET, "_(europe|asia)$")
+    found = S.tagged(found, "^species-comparison_(.*)$", "species", {"std": "sd", "n": "size"}, ("se", "median", "min", "max", "q1", "q3"))
+    return rounded(found, 6, 2e-8)
+
+
 QUERIES = {
+    "s11_multi_sheet_report": _sheets,
+    "s12_scan_multi_sheet": _chosen,
     "s10_distances_csv": _distances,
     "s14_scan_points_tsv": _points,
     "s15_manifest_json": _manifest,
@@ -90,7 +115,10 @@ QUERIES = {
     "j21_stain_file_lookup": _stains,
     "j22_protein_paths": _paths,
 }
+_DESCRIBED = f"with {_LONG}, d as (select attr, grp, {_QCONT} from l group by attr, grp), r as (select attr, grp, {_R} from d)"
 SQL = {
+    "s11_multi_sheet_report": _DESCRIBED + " select * exclude (grp), 'species-comparison_' || lower(replace(grp, ' ', '-')) as sheet from r",
+    "s12_scan_multi_sheet": _DESCRIBED + " select attr, mean, std as sd, se_ref, n as size, lower(replace(grp, ' ', '-')) as species from r where grp in ('EUROPE', 'ASIA')",
     "s10_distances_csv": f"select species, protein, count(*) as n, round(sum(intensity), 3) as intensity, round(avg(d_portal), 3) as d_portal from ({_D}) group by all",
     "s14_scan_points_tsv": "select l_orderkey, count(*) as n, sum(l_partkey % 150)::bigint as x, sum(l_suppkey % 70)::bigint as y from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' group by l_orderkey",
     "s15_manifest_json": "select c_custkey as sample, case when c_custkey % 5 > 0 then c_mktsegment end as subject, c_custkey % 64 as x from customer",

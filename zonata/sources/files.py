@@ -83,3 +83,21 @@ def paths_by_protein(wanted: DataFrame, there: DataFrame, keys: list[str], prote
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(path).isNotNull(), F.struct(protein, path))))).alias("paths"),
         F.sort_array(F.collect_list(F.when(F.col(path).isNull(), F.col(protein)))).alias("missing"),
     )
+
+
+def write_sheets(results: DataFrame, path: str, sheet: str = "sheet") -> None:
+    """A report of several sheets: a folder for each, CSV with a header."""
+    results.repartition(sheet).write.partitionBy(sheet).option("header", True).mode("overwrite").csv(path)
+
+
+def read_sheets(spark: SparkSession, path: str, schema: str, chosen: str | None = None, sheet: str = "sheet") -> DataFrame:
+    """The sheets of a report as one table, with the sheet's name. chosen: only those whose name the pattern matches; the other folders
+    are not read. The schema is that of a sheet, without the name; columns it does not hold are null."""
+    found = spark.read.schema(f"{schema}, {sheet} string").option("header", True).csv(path)
+    return found if chosen is None else found.where(F.col(sheet).rlike(chosen))
+
+
+def tagged(sheets: DataFrame, pattern: str, tag: str, renamed: dict[str, str], dropped: tuple[str, ...] = (), sheet: str = "sheet") -> DataFrame:
+    """Sheets with a column cut out of their names (null where the pattern does not match), columns renamed and others dropped."""
+    out = sheets.withColumn(tag, F.nullif(F.regexp_extract(sheet, pattern, 1), F.lit(""))).drop(sheet, *dropped)
+    return out.withColumnsRenamed(renamed)

@@ -95,3 +95,24 @@ def masked_tiles(tiles: DataFrame, rois: DataFrame, tile: int, outside: int = 25
     own = lambda i: F.element_at("data", ((row(i) - F.col("row0")) * F.col("w") + column(i) - F.col("col0") + 1).cast("int"))
     painted = cells.withColumn("painted", F.transform("inside", lambda b, i: F.when(b, own(i)).otherwise(F.lit(outside))))
     return painted.select("image_id", "level", "roi", "tile_r", "tile_c", F.col("r0").cast("int").alias("row0"), F.col("c0").cast("int").alias("col0"), (F.col("r1") - F.col("r0") + 1).cast("int").alias("h"), wide.cast("int").alias("w"), F.col("painted").alias("data"))
+
+
+class TilesOfBox:
+    """A table function: the numbers of the tiles that a box (its last row and column included) meets, one after the other, row by row.
+    A box that ends before it starts meets none; one with a null neither."""
+
+    def eval(self, y0: int, x0: int, y1: int, x1: int, tile: int):
+        if None in (y0, x0, y1, x1, tile):
+            return
+        for r in range(y0 // tile, y1 // tile + 1):
+            for c in range(x0 // tile, x1 // tile + 1):
+                yield r, c
+
+
+def generated_tiles(boxes: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """The stored tiles of each box (image_id, level, roi, box of y0, x0, y1, x1): the table function's rows, made where the boxes are
+    and joined to the store on image, level and place. No list of tiles is made anywhere."""
+    make = F.udtf(TilesOfBox, returnType="tile_r int, tile_c int")
+    of = lambda c: F.col(f"box.{c}").outer()
+    need = boxes.lateralJoin(make(of("y0"), of("x0"), of("y1"), of("x1"), F.lit(tile))).select("image_id", "level", "roi", "tile_r", "tile_c")
+    return need.join(tiles, ["image_id", "level", "tile_r", "tile_c"])
