@@ -74,6 +74,34 @@ def test_a_template_makes_few_pairs(spark):
     assert {d: c for d, (_, c, _) in got.items() if c != d} == {900: 5, 901: 77}
 
 
+@pytest.mark.parametrize("chunk", [20])
+def test_alternatives_in_slots_confirm_few_pairs(spark, monkeypatch, chunk):
+    """A template whose slots take one of a few words: the rarest shingles are shared by a quarter of the documents."""
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    rng, rows, looked = random.Random(11), [], []
+    slots = sorted(rng.sample(range(300), 18))
+    for d in range(260):
+        t = [f"t{i}" for i in range(300)]
+        for i in slots:
+            t[i] = f"s{i}x{rng.randrange(4)}"
+        rows.append((d, " ".join(t)))
+    rows.append((900, rows[17][1].replace("t299", "other")))
+    inner = N.written
+
+    def written(df, name):
+        out = inner(df, name)
+        if name == "likely":
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", written)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 5, 80)
+    assert held(N.link(spark, df, 5, 80)) == want
+    assert want[900][1] != 900
+    assert sum(looked) < 10 * len(rows)  # of 33,930 pairs
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(1, 2), (9, 2), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}

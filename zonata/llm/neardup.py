@@ -8,9 +8,11 @@ from these lists, are counted on whole signatures, and are confirmed on full set
 
 Large lists are not paired out: rounds of one leader for each list link most of a group in linear work. What is then left
 between different components in a list of up to SMALL classes has its signatures compared within the join. The classes of longer
-lists (many documents of one template, say, none similar enough to another) meet by the rarest shingles of their full sets: of two
-sets that are similar enough, the smaller one's n - 2p/(1+p) n + 1 rarest and the larger one's n - p n + 1 rarest share a shingle.
-That is exact, so no list is capped, and what a template's documents have in common is too frequent to make pairs.
+lists (many documents of one template, say) meet by the rarest shingles of their full sets: of two sets that are similar enough,
+the smaller one's n - 2p/(1+p) n + 1 rarest and the larger one's n - p n + 1 rarest share a shingle, and after the first that they
+share enough of both must be left. That is exact, so no list is capped. These lists too are worked off in rounds: those outside
+a list's main component meet a few of its members, links found contract the components, and only what then still lies in different
+components is paired, within the join, by sizes, places, parities and signatures before a pair is put out. Long lists are salted.
 
 Defined results: null and empty texts, and texts without words, have an empty set, size 0, and stand alone. A text with fewer
 than n words is one shingle. Repeated rows fall into one class. Other columns are not looked at.
@@ -33,10 +35,13 @@ from .shared import documents, pieces, shared_dir, with_id, with_id_text, writte
 #: a pair at the threshold at which a pair is still looked at.
 H, WIDTH, BITS, DEVIATIONS = 32, 128, 4, 4.3
 #: Cells that shingles are dealt to; the parities of their counts differ in no more cells than the sets differ in shingles.
-CELLS = 512
+CELLS = 2048
 #: Rounds of leaders at most, which end once a round leaves over half of the pairs between components or no more than LEFT_OVER
 #: for each posting; classes of a list that is paired out.
 LEADER_ROUNDS, LEFT_OVER, SMALL = 8, 1000, 64
+#: The same for lists of rare shingles: rounds, which end once one takes away less than a tenth of the pairs or leaves RARE_LEFT a
+#: posting; members of the main component that the others meet; rows of a list that one task pairs with the whole list.
+RARE_ROUNDS, RARE_LEFT, LEADERS, CHUNK = 12, 16, 4, 2048
 _RNG = np.random.default_rng(20240229)
 _XOR, _MUL = _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64), _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64) | np.uint64(1)
 
@@ -133,18 +138,30 @@ def _inner(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int((np.diff(np.sort(z)) == 0).sum()) for z in both], dtype="int64")
 
 
+#: bits and odd of a class as plain columns: a join's condition over plain numbers stays small enough to be compiled.
+_FLAT = [f"bits{i}" for i in range(WIDTH * BITS // 64)] + [f"odd{i}" for i in range(CELLS // 64)]
+
+
+def flat(classes: DataFrame) -> list[Column]:
+    """The columns _FLAT of classes with bits and odd."""
+    return [F.coalesce(F.col(c.rstrip("0123456789"))[int(c.lstrip("bitsod"))], F.lit(0)).alias(c) for c in _FLAT]
+
+
 def _close(percent: int) -> Column:
-    """Whether classes a and b can be similar enough by their sizes, and agree in enough coordinates."""
-    differ = F.lit(0)
-    for i in range(WIDTH * BITS // 64):
-        x = F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])
+    """Whether classes a and b (n, _FLAT) can be similar enough by their sizes, and agree in enough coordinates."""
+    xors = {c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in _FLAT}
+    differ = apart = F.lit(0)
+    for c, x in xors.items():
+        if c.startswith("odd"):
+            apart = apart + F.bit_count(x)
+            continue
         for k in (1, 2):  # any of a coordinate's four bits
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(CELLS // 64)), F.lit(0))
     # sets of that similarity differ in (100 - percent) / (100 + percent) of their sizes' sum at most, which is exact
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & near & (differ <= WIDTH - needed(WIDTH, percent, BITS))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & near & (differ <= WIDTH - needed(WIDTH, percent, BITS))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -155,8 +172,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
         return pd.Series([shingles(t).tobytes() for t in text])
 
     make, common = F.pandas_udf(sets, "binary"), F.pandas_udf(_inner, "long")
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("odd").alias(f"odd_{x}"))
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
+    plain = classes.select("id", "n", *flat(classes))
+    likely = written(pairs.join(_sides(plain, "a"), "a").join(_sides(plain, "b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     # repeated rows of a document would repeat its pairs; one is enough
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
@@ -165,8 +182,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     return inner.where(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct()
 
 
-def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: pairs of ids (id, n, component, bits, odd) of different components, all those among them that are similar enough."""
+def rare_postings(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """s, id, n, i, small: the rarest shingles of ids (id, n), i their place in the set from rare to frequent; small: whether the
+    set also needs this shingle when it is the smaller one of a pair."""
 
     def sets(text: pd.Series) -> pd.Series:
         shingles = Shingler(n)
@@ -175,18 +193,96 @@ def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
     shingles = written(texts.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text")).alias("s")), "shingles")
     shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("p")).join(ids, "id")
+    ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("p"))
     # shingles of one set alone come first and meet no other
-    alone = F.col("n") - F.size("p")
-    smaller = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 - alone
-    larger = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
-    side = lambda x, k: ordered.select(F.explode(F.slice("p", F.lit(1), F.greatest(k, F.lit(0)).cast("int"))).alias("s"), F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "bits", "odd")))
-    met = side("a", smaller).join(side("b", larger), "s").where(
-        (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "a") < F.struct("n_b", "b")) & _close(percent)
+    ordered = ordered.join(ids.select("id", "n"), "id").withColumn("alone", F.col("n") - F.size("p"))
+    smaller = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    larger = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    first = F.slice("p", F.lit(1), F.greatest(larger - F.col("alone"), F.lit(0)).cast("int"))
+    posts = ordered.select("id", "n", "alone", smaller.alias("smaller"), F.posexplode(first).alias("j", "s"))
+    i = F.col("alone") + F.col("j")
+    return posts.select("s", "id", "n", i.alias("i"), (i < F.col("smaller")).alias("small"))
+
+
+def _meet(percent: int) -> Column:
+    """Whether postings of a and b under one shingle can belong to a pair that is similar enough and has met here first."""
+    order = F.struct("n_a", "a") < F.struct("n_b", "b")
+    role = (order & F.col("small_a")) | (~order & F.col("small_b"))
+    after = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))  # all that they can have in common
+    return role & ((100 + percent) * after >= percent * (F.col("n_a") + F.col("n_b")))
+
+
+def _sides(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    """Columns of df named for side x of a join, its id as x itself; keys keep their names."""
+    return df.select(*keys, F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("id", *keys)))
+
+
+def _open_lists(placed: DataFrame) -> DataFrame:
+    """s, m, main, cross of the lists with classes of different components: rows, the largest component, pairs between components."""
+    groups = placed.groupBy("s", "component").agg(F.count(F.lit(1)).cast("double").alias("g"))
+    lists = groups.groupBy("s").agg(
+        F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"), F.max(F.struct("g", "component"))["component"].alias("main")
     )
+    return lists.where("m * m > own").select("s", "m", "main", F.expr("(m * m - own) / 2").alias("cross"))
+
+
+def _met_leaders(placed: DataFrame, lists: DataFrame, percent: int, k: int) -> DataFrame:
+    """a, b: those outside their list's main component with up to LEADERS of its members, other ones each round k."""
+    held = placed.join(lists.select("s", "main"), "s")
+    deal = F.xxhash64("id", F.lit(k))
+    leads = held.where("component = main").groupBy("s", F.pmod(deal, F.lit(LEADERS)).alias("deal"))
+    leads = leads.agg(F.min(F.struct(deal.alias("o"), "id", "n", "i", "small")).alias("l")).select("s", "l.id", "l.n", "l.i", "l.small")
+    outside = held.where("component <> main").select("s", "id", "n", "i", "small")
+    met = _sides(outside, "a", "s").join(_sides(leads, "b", "s"), "s").where(_meet(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _met_all(placed: DataFrame, lists: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of different components that meet under a shingle and can be similar enough. One side is never in the list's
+    main component; it is dealt out by its id where the list is long, and the other side goes to each part."""
+    parts = F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")
+    held = placed.join(lists.select("s", "main", parts), "s").join(ids.select("id", *flat(ids)), "id")
+    outside = held.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("main", "parts")
+    every = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = _sides(outside, "a", "s", "salt").join(_sides(every, "b", "s", "salt"), ["s", "salt"]).where(
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b")))  # both outside: once
+        & _meet(percent) & _close(percent)
+    )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: pairs of ids (id, n, component, bits, odd) of different components, all those among them that are similar enough."""
+    placed = rare_postings(ids, docs, n, percent).join(ids.select("id", "component"), "id")
+    placed = written(placed, "rare")
+    return _met_all(placed, _open_lists(placed), ids, percent)
+
+
+def by_rare_rounds(ids: DataFrame, classes: DataFrame, docs: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+    """links (a, b) with more added, so that all of ids (id, n, bits, odd) that are similar enough are in one component.
+
+    Work is linear in postings as long as members of the main components take the others in; what no round takes in meets all.
+    """
+    posted = written(rare_postings(ids, docs, n, percent), "rare")
+    total, before = posted.count(), float("inf")
+    for k in range(RARE_ROUNDS + 1):
+        label = components(links)
+        placed = posted.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = written(placed, "rare-placed")
+        lists = written(_open_lists(placed), "rare-lists")
+        left = lists.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
+        if not left:
+            break
+        last = left <= RARE_LEFT * total or (k > 1 and left > 0.9 * before) or k == RARE_ROUNDS
+        before = left
+        pairs = _met_all(placed, lists, ids, percent) if last else _met_leaders(placed, lists, percent, k)
+        links = written(links.unionByName(confirmed(pairs, classes, docs, n, percent)), "links")
+        if last:
+            break
+    return links
+
+
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept."""
     shared_dir(spark)
@@ -208,15 +304,11 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
         last = (k > 0 and (left <= LEFT_OVER * n_posts or left > before / 2)) or k == LEADER_ROUNDS
         before = left
         if last:
-            full = still.where(F.col("m") <= SMALL).join(classes.select("id", "n", "bits", "odd"), "id")
-            side = lambda x: full.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "bits", "odd", "p")))  # noqa: E731, B023
-            pairs = side("a").join(side("b"), "v").where(
+            full = still.where(F.col("m") <= SMALL).select("v", "id", "component", "p").join(classes.select("id", "n", *flat(classes)), "id")
+            pairs = _sides(full, "a", "v").join(_sides(full, "b", "v"), "v").where(
                 (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _close(percent)
                 & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("v"))  # of all lists that hold a pair, one gives it
             ).select("a", "b")
-            wide = written(still.where(F.col("m") > SMALL).select("id", "component").distinct().join(classes.select("id", "n", "bits", "odd"), "id"), "wide")
-            if not wide.isEmpty():
-                pairs = pairs.unionByName(by_rare_shingles(wide, docs, n, percent)).distinct()
         else:
             order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
             leader = still.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l"))
@@ -224,6 +316,11 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
             pairs = still.join(leader, "v").where("id <> leader and component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         found = confirmed(pairs, classes, docs, n, percent)
         links = written(found if links is None else links.unionByName(found), "links")
+        if last:
+            wide = still.where(F.col("m") > SMALL).select("id").distinct().join(classes.select("id", "n", "bits", "odd"), "id")
+            wide = written(wide, "wide")
+            if not wide.isEmpty():
+                links = by_rare_rounds(wide, classes, docs, links, n, percent)
         label = components(links)
         label = written(posts.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed")
         if last:
