@@ -50,3 +50,18 @@ def test_thinning_keeps_components_and_loops_stay(spark):
     skeleton = spark.createDataFrame([(1, y, x) for y, x in thin], "k int, y int, x int")
     grid = spark.createDataFrame([(1, y, x) for y in range(-1, 22) for x in range(-1, 42)], "k int, y int, x int")
     assert C.faces(spark, skeleton, grid, ["k"]).select("label").distinct().count() == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="share"):
+        C.shared(Session())

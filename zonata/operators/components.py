@@ -14,9 +14,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 
 def shared(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder; a local one only where none is set."""
+    """The cluster's checkpoint folder; where none is set, a local one under a local master (tests), else an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not there and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(there or f"file://{tempfile.mkdtemp(prefix='zonata-')}")
 
 
