@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a fresh local one."""
+    """The cluster's shared folder; where none is set, a fresh local one under a local master (tests), else an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='zonata-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     if spark.sparkContext.getCheckpointDir() is None:
