@@ -102,6 +102,40 @@ def test_alternatives_in_slots_confirm_few_pairs(spark, monkeypatch, chunk):
     assert sum(looked) < 10 * len(rows)  # of 33,930 pairs
 
 
+def test_rounds_write_few_tables_and_make_each_set_once(spark, monkeypatch):
+    """Each table is files, and each file costs an executor a process; a text's set is made once for all pairs of a round."""
+    from zonata.llm import components as C
+
+    monkeypatch.setattr(N, "LEFT_OVER", 0)
+    monkeypatch.setattr(N, "SMALL", 1)
+    names, inner, looked = [], N.written, []
+    base = words(random.Random(3), 120).split()
+    rows = [(d, " ".join(base[:d] + [f"own{d}"] + base[d + 1 :])) for d in range(60)] + [(900, "a text on its own of eight words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def written(table, name):
+        names.append(name)
+        if name in ("links", "joins"):
+            looked.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return inner(table, name)
+
+    monkeypatch.setattr(N, "written", written)
+    monkeypatch.setattr(C, "written", written)
+    assert held(N.link(spark, df, 3, 85)) == brute(rows, 3, 85)
+    assert looked and all(plan.count("ArrowEvalPython") == 1 for plan in looked)
+    assert names.count("edges") == 1  # only the round that finds links contracts
+    assert len(names) <= 12
+
+
+def test_a_worker_keeps_few_words():
+    shingles = N.Shingler(3)
+    for at in range(0, 500_000, 1000):
+        assert len(shingles(" ".join(f"word{at + k}" for k in range(1000)))) == 998
+    assert len(shingles.hashes) <= 200_000
+    again = N.Shingler(3)
+    assert (again("a b c word7 d") == shingles("a b c word7 d")).all()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(1, 2), (9, 2), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}

@@ -42,6 +42,8 @@ LEADER_ROUNDS, LEFT_OVER, SMALL = 8, 1000, 64
 #: The same for lists of rare shingles: rounds, which end once one takes away less than a tenth of the pairs or leaves RARE_LEFT a
 #: posting; members of the main component that the others meet; rows of a list that one task pairs with the whole list.
 RARE_ROUNDS, RARE_LEFT, LEADERS, CHUNK = 12, 16, 4, 2048
+#: Words whose hashes a Python worker keeps; its memory counts beside the JVM's.
+WORDS = 200_000
 _RNG = np.random.default_rng(20240229)
 _XOR, _MUL = _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64), _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64) | np.uint64(1)
 
@@ -50,22 +52,20 @@ class Shingler:
     """64-bit hashes of the distinct n-word shingles of texts; words are hashed once a batch."""
 
     def __init__(self, n: int):
-        self.n, self.ids, self.hashes = n, {}, []
+        self.n, self.hashes = n, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.ids) > 2_000_000:
-            self.ids, self.hashes = {}, []
-        ids, hashes = self.ids, self.hashes
-        own = []
+        own, hashes = [], self.hashes
         for w in words:
-            i = ids.get(w)
-            if i is None:
-                i = ids[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w))
-            own.append(hashes[i])
+            x = hashes.get(w)
+            if x is None:
+                if len(hashes) >= WORDS:
+                    hashes.clear()
+                x = hashes[w] = xxhash.xxh64_intdigest(w)
+            own.append(x)
         h = np.array(own, np.uint64)
         n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
@@ -133,11 +133,6 @@ def prefixes(classes: DataFrame, agree: int) -> DataFrame:
     return first.select(F.explode("p").alias("v"), "id", "p")
 
 
-def _inner(a: pd.Series, b: pd.Series) -> pd.Series:
-    both = (np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]) for x, y in zip(a, b, strict=True))
-    return pd.Series([int((np.diff(np.sort(z)) == 0).sum()) for z in both], dtype="int64")
-
-
 #: bits and odd of a class as plain columns: a join's condition over plain numbers stays small enough to be compiled.
 _FLAT = [f"bits{i}" for i in range(WIDTH * BITS // 64)] + [f"odd{i}" for i in range(CELLS // 64)]
 
@@ -164,22 +159,43 @@ def _close(percent: int) -> Column:
     return sizes & near & (differ <= WIDTH - needed(WIDTH, percent, BITS))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b of the pairs whose signatures agree often enough and whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """a, b of the pairs whose signatures agree often enough and whose full sets are similar enough; None if no signatures agree.
+
+    A text is read and cut once, whichever side of its pairs it is, and the sets are compared on the JVM: a task needs one Python
+    worker, not one for the sets and one for what they have in common.
+    """
 
     def sets(text: pd.Series) -> pd.Series:
         shingles = Shingler(n)
-        return pd.Series([shingles(t).tobytes() for t in text])
+        return pd.Series([shingles(t).view(np.int64) for t in text])
 
-    make, common = F.pandas_udf(sets, "binary"), F.pandas_udf(_inner, "long")
     plain = classes.select("id", "n", *flat(classes))
     likely = written(pairs.join(_sides(plain, "a"), "a").join(_sides(plain, "b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
+    if likely.isEmpty():
+        return None
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    # repeated rows of a document would repeat its pairs; one is enough
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    with_sets = lambda x: texts.select(F.col("doc_id").alias(x), make("text").alias(f"set_{x}"))
-    inner = likely.join(with_sets("a"), "a").join(with_sets("b"), "b").select("a", "b", "n_a", "n_b", common("set_a", "set_b").alias("i"))
-    return inner.where(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct()
+    made = texts.select("doc_id", F.pandas_udf(sets, "array<long>")("text").alias("s"))
+    ends = likely.distinct().select("*", F.explode(F.array("a", "b")).alias("doc_id")).join(made, "doc_id")
+    # repeated rows of a document have one set
+    of = lambda x: F.collect_set(F.when(F.col("doc_id") == F.col(x), F.col("s"))).alias(f"of_{x}")
+    both = ends.groupBy("a", "b", "n_a", "n_b").agg(of("a"), of("b"))
+    i = F.array_max(F.flatten(F.transform("of_a", lambda x: F.transform(F.col("of_b"), lambda y: F.size(F.array_intersect(x, y))))))
+    return both.where(100 * i >= percent * (F.col("n_a") + F.col("n_b") - i)).select("a", "b").distinct()
+
+
+def contracted(label: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """label (id, component: its least id) with the components that the links found (a, b) join made one; None if it stays as it is."""
+    if found is None:
+        return None
+    for x in ("a", "b"):
+        found = found.join(label.select(F.col("id").alias(x), F.col("component").alias(f"to_{x}")), x)
+    joins = written(found.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "joins")
+    if joins.isEmpty():
+        return None
+    into = components(joins).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return written(label.join(into, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "placed")
 
 
 def rare_postings(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -259,28 +275,28 @@ def by_rare_shingles(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     return _met_all(placed, _open_lists(placed), ids, percent)
 
 
-def by_rare_rounds(ids: DataFrame, classes: DataFrame, docs: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """links (a, b) with more added, so that all of ids (id, n, bits, odd) that are similar enough are in one component.
+def by_rare_rounds(ids: DataFrame, classes: DataFrame, docs: DataFrame, label: DataFrame, n: int, percent: int) -> DataFrame:
+    """label (id, component) contracted, so that all of ids (id, n, bits, odd) that are similar enough are in one component.
 
     Work is linear in postings as long as members of the main components take the others in; what no round takes in meets all.
     """
     posted = written(rare_postings(ids, docs, n, percent), "rare")
-    total, before = posted.count(), float("inf")
+    total, before, new = posted.count(), float("inf"), label
     for k in range(RARE_ROUNDS + 1):
-        label = components(links)
-        placed = posted.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = written(placed, "rare-placed")
-        lists = written(_open_lists(placed), "rare-lists")
-        left = lists.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
+        if new is not None:
+            label = new
+            placed = written(posted.join(label, "id"), "rare-placed")
+            lists = written(_open_lists(placed), "rare-lists")
+            left = lists.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
         if not left:
             break
         last = left <= RARE_LEFT * total or (k > 1 and left > 0.9 * before) or k == RARE_ROUNDS
         before = left
         pairs = _met_all(placed, lists, ids, percent) if last else _met_leaders(placed, lists, percent, k)
-        links = written(links.unionByName(confirmed(pairs, classes, docs, n, percent)), "links")
+        new = contracted(label, confirmed(pairs, classes, docs, n, percent))
         if last:
             break
-    return links
+    return label if new is None else new
 
 
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -292,7 +308,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     posts = written(prefixes(classes, needed(H, percent)), "posts")
     n_posts = posts.count()
     label = posts.select("id").distinct().withColumn("component", F.col("id"))
-    links, before = None, float("inf")
+    before = float("inf")
     for k in range(LEADER_ROUNDS + 1):
         placed = posts.join(label, "id") if k else posts.withColumn("component", F.col("id"))
         lists = placed.groupBy("v", "component").agg(F.count(F.lit(1)).alias("g")).groupBy("v").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
@@ -314,16 +330,13 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
             leader = still.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l"))
             leader = leader.select("v", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"))
             pairs = still.join(leader, "v").where("id <> leader and component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        found = confirmed(pairs, classes, docs, n, percent)
-        links = written(found if links is None else links.unionByName(found), "links")
+        new = contracted(label, confirmed(pairs, classes, docs, n, percent))
+        label = label if new is None else new
         if last:
             wide = still.where(F.col("m") > SMALL).select("id").distinct().join(classes.select("id", "n", "bits", "odd"), "id")
             wide = written(wide, "wide")
             if not wide.isEmpty():
-                links = by_rare_rounds(wide, classes, docs, links, n, percent)
-        label = components(links)
-        label = written(posts.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed")
-        if last:
+                label = by_rare_rounds(wide, classes, docs, label, n, percent)
             break
     joined = classes.select("key", F.col("id").alias("rep")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
     joined = joined.select("key", F.coalesce("component", "rep").alias("component_id"))
