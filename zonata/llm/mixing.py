@@ -3,7 +3,8 @@
 Each source has a target of tokens (words). Among all document rates r in [0, cap] that meet the targets, entropy balancing
 takes those nearest to rate 1 in relative entropy: r = min(cap, exp(lambda * x)), x the document's size over its source's
 typical size. lambda solves the convex dual; each Newton round is one aggregate over (source, size) cells, which hold all that
-the rates depend on. Rates become whole copies: systematic rounding along the sizes of a source, then a correction by the
+the rates depend on; cells and rates are written to the shared folder between rounds, whose small files then need no shuffle to
+be joined. Rates become whole copies: systematic rounding along the sizes of a source, then a correction by the
 largest sizes that fit what is missing, then a split of each cell's copies among its documents by a salted rank.
 
 Defined results: null text: size 0, no copy. Null source: a source of its own, sorted last. Empty table: no rows. Repeated
@@ -65,7 +66,7 @@ def solve(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         .select("skey", "target", (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full"))
         .withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e9), "hi": F.lit(1e9), "miss": F.lit(1.0)})
     )
-    state = state.checkpoint()
+    state = written(state, "mix-state")
     for _ in range(ROUNDS):
         r = _rate(F.col("lam"), cap)
         tokens = F.col("n") * F.col("size")
@@ -81,10 +82,10 @@ def solve(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         at = F.col("lam") + step
         at = F.when((at > lo) & (at < hi), at).otherwise((lo + hi) / 2)
         done = F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)) <= TOLERANCE
-        state = (
+        state = written(
             state.join(moments, "skey", "left")
-            .select("skey", "target", "full", F.when(F.col("full") | done, F.col("lam")).otherwise(at).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("full") | done, 0.0).otherwise(1.0).alias("miss"))
-            .checkpoint()
+            .select("skey", "target", "full", F.when(F.col("full") | done, F.col("lam")).otherwise(at).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("full") | done, 0.0).otherwise(1.0).alias("miss")),
+            "mix-state",
         )
         if not state.where("miss > 0").limit(1).count():
             break
@@ -96,13 +97,14 @@ def _corrected(cells: DataFrame, targets: DataFrame, cap: int, rounds: int = 4)
     for _ in range(rounds):
         miss = cells.groupBy("skey").agg(F.sum(F.col("k") * F.col("size")).alias("has")).join(targets, "skey")
         miss = miss.select("skey", F.round(F.col("target") - F.col("has")).cast("long").alias("e"))
+        # sizes above what is missing have no room, so they neither take copies nor stand before others
         room = F.when(F.col("e") > 0, cap * F.col("n") - F.col("k")).otherwise(F.col("k"))
-        fit = cells.join(miss, "skey").where(F.col("size") <= F.abs("e")).withColumn("room", room)
+        fit = cells.join(miss, "skey", "left").withColumn("room", F.when(F.col("size") <= F.abs("e"), room).otherwise(0))
         larger = Window.partitionBy("skey").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
         left = F.abs("e") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
         add = F.greatest(F.lit(0), F.least("room", F.floor(left / F.col("size")))) * F.signum("e")
-        fit = fit.select("skey", "size", add.cast("long").alias("add"))
-        cells = cells.join(fit, ["skey", "size"], "left").withColumn("k", F.col("k") + F.coalesce("add", F.lit(0))).drop("add").checkpoint()
+        k = F.col("k") + F.coalesce(add.cast("long"), F.lit(0))
+        cells = written(fit.select("skey", "size", "n", "rate", k.alias("k")), "mix-cells")
     return cells
 
 
@@ -113,17 +115,18 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
     """
     shared_dir(spark)
     sizes = written(sizes_of(docs, row), "mix-sizes")
-    targets = targets_of(sizes, weights, share, cap).checkpoint()
+    targets = written(targets_of(sizes, weights, share, cap), "mix-targets")
     counted = sizes.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     typical = counted.groupBy("skey").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("typical"))
-    cells = counted.where("size > 0").join(typical, "skey").select("skey", "size", "n", (F.col("size") / F.col("typical")).alias("x")).checkpoint()
+    cells = counted.where("size > 0").join(typical, "skey").select("skey", "size", "n", (F.col("size") / F.col("typical")).alias("x"))
+    cells = written(cells, "mix-cells")
     lam = solve(cells, targets, cap)
     cells = cells.join(lam, "skey").withColumn("rate", F.coalesce(_rate(F.col("lam"), cap), F.lit(float(cap))))
     along = Window.partitionBy("skey").orderBy("size")
     up_to = F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     cells = cells.withColumn("c", F.floor(up_to + 0.5)).withColumn("k", F.col("c") - F.coalesce(F.lag("c").over(along), F.lit(0)))
-    cells = cells.select("skey", "size", "n", "rate", F.greatest(F.lit(0), F.least("k", cap * F.col("n"))).cast("long").alias("k")).checkpoint()
-    cells = _corrected(cells, targets, cap)
+    cells = cells.select("skey", "size", "n", "rate", F.greatest(F.lit(0), F.least("k", cap * F.col("n"))).cast("long").alias("k"))
+    cells = _corrected(written(cells, "mix-cells"), targets, cap)
     # a document's rank in its cell, by salts: no window holds a whole cell
     salts = max(256, sizes.count() // 50_000)
     salted = sizes.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(salts)))

@@ -174,24 +174,26 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     likely = written(pairs.join(_sides(plain, "a"), "a").join(_sides(plain, "b"), "b").where(_close(percent)).select("a", "b", "n_a", "n_b"), "likely")
     if likely.isEmpty():
         return None
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     made = texts.select("doc_id", F.pandas_udf(sets, "array<long>")("text").alias("s"))
-    ends = likely.distinct().select("*", F.explode(F.array("a", "b")).alias("doc_id")).join(made, "doc_id")
+    ends = likely.select("*", F.explode(F.array("a", "b")).alias("doc_id")).join(made, "doc_id")
     # repeated rows of a document have one set
     of = lambda x: F.collect_set(F.when(F.col("doc_id") == F.col(x), F.col("s"))).alias(f"of_{x}")
     both = ends.groupBy("a", "b", "n_a", "n_b").agg(of("a"), of("b"))
     i = F.array_max(F.flatten(F.transform("of_a", lambda x: F.transform(F.col("of_b"), lambda y: F.size(F.array_intersect(x, y))))))
-    return both.where(100 * i >= percent * (F.col("n_a") + F.col("n_b") - i)).select("a", "b").distinct()
+    return both.where(100 * i >= percent * (F.col("n_a") + F.col("n_b") - i)).select("a", "b")
 
 
-def contracted(label: DataFrame, found: DataFrame | None) -> DataFrame | None:
-    """label (id, component: its least id) with the components that the links found (a, b) join made one; None if it stays as it is."""
+def contracted(label: DataFrame, found: DataFrame | None, first: bool = False) -> DataFrame | None:
+    """label (id, component: its least id) with the components that the links found (a, b) join made one; None if it stays as it is.
+    first: whether every id is a component of its own still."""
     if found is None:
         return None
-    for x in ("a", "b"):
-        found = found.join(label.select(F.col("id").alias(x), F.col("component").alias(f"to_{x}")), x)
-    joins = written(found.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "joins")
+    if not first:
+        for x in ("a", "b"):
+            found = found.withColumnRenamed(x, "end").join(label.select(F.col("id").alias("end"), F.col("component").alias(x)), "end").drop("end")
+    joins = written(found.select("a", "b").where("a <> b").distinct(), "joins")
     if joins.isEmpty():
         return None
     into = components(joins).select(F.col("id").alias("component"), F.col("component").alias("into"))
@@ -308,11 +310,11 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     posts = written(prefixes(classes, needed(H, percent)), "posts")
     n_posts = posts.count()
     label = posts.select("id").distinct().withColumn("component", F.col("id"))
-    before = float("inf")
+    before, unmoved = float("inf"), True
     for k in range(LEADER_ROUNDS + 1):
-        placed = posts.join(label, "id") if k else posts.withColumn("component", F.col("id"))
+        placed = posts.withColumn("component", F.col("id")) if unmoved else posts.join(label, "id")
         lists = placed.groupBy("v", "component").agg(F.count(F.lit(1)).alias("g")).groupBy("v").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
-        open_ = lists.where("m * m > own").select("v", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("cross"))
+        open_ = written(lists.where("m * m > own").select("v", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("cross")), "lists")
         left = open_.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
         if not left:
             break
@@ -330,8 +332,8 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
             leader = still.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l"))
             leader = leader.select("v", F.col("l.id").alias("leader"), F.col("l.component").alias("leads"))
             pairs = still.join(leader, "v").where("id <> leader and component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        new = contracted(label, confirmed(pairs, classes, docs, n, percent))
-        label = label if new is None else new
+        new = contracted(label, confirmed(pairs, classes, docs, n, percent), first=unmoved)
+        label, unmoved = (label, unmoved) if new is None else (new, False)
         if last:
             wide = still.where(F.col("m") > SMALL).select("id").distinct().join(classes.select("id", "n", "bits", "odd"), "id")
             wide = written(wide, "wide")
