@@ -1,9 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 
 from zonata.llm import neardup as N
 from zonata.llm.components import components
+from zonata.llm.shared import batches
 
 from .conftest import words
 
@@ -136,6 +138,45 @@ def test_a_worker_keeps_few_words():
     assert (again("a b c word7 d") == shingles("a b c word7 d")).all()
 
 
+def test_workers_get_few_rows_at_once(spark, monkeypatch):
+    """Tables made through Python workers go there in small batches; an executor's memory holds each several times."""
+    monkeypatch.setattr(N, "LEFT_OVER", 0)
+    monkeypatch.setattr(N, "SMALL", 1)
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before, inner, held_at = [spark.conf.get(x) for x in names], N.written, []
+    base = words(random.Random(3), 120).split()
+    rows = [(d, " ".join(base[:d] + [f"own{d}"] + base[d + 1 :])) for d in range(60)]
+    rows += [(100 + d, f"{rows[d][1]} " + " ".join(f"far{d}x{k}" for k in range(60))) for d in range(20)]  # each only shares a part
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def written(table, name):
+        if any(x in table._jdf.queryExecution().optimizedPlan().toString() for x in ("MapInPandas", "ArrowEvalPython")):
+            held_at.append((name, *(int(spark.conf.get(x).rstrip("b")) for x in names)))
+        return inner(table, name)
+
+    monkeypatch.setattr(N, "written", written)
+    assert held(N.link(spark, df, 3, 85)) == brute(rows, 3, 85)
+    assert {name for name, *_ in held_at} == {"sketches", "joins", "shingles"}
+    assert all(n <= 1000 and size <= 8_000_000 for _, n, size in held_at)
+    assert [spark.conf.get(x) for x in names] == before
+
+
+def test_batches_hold_inside_only(spark):
+    def sizes(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [len(f)], "chars": [int(f["text"].str.len().sum())]})
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(x) for x in names]
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "repeat('abcdefghij', if(id < 200, 1, 1000)) as text")
+    with pytest.raises(ZeroDivisionError), batches(spark, 50, 200_000):
+        got = [tuple(r) for r in df.mapInPandas(sizes, "n long, chars long").collect()]
+        assert sum(n for n, _ in got) == 300 and max(n for n, _ in got) == 50
+        assert max(chars for _, chars in got) <= 250_000  # the row that reaches the limit is the last one
+        raise ZeroDivisionError
+    assert [spark.conf.get(x) for x in names] == before
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(1, 2), (9, 2), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, pieces, shared_dir, with_id, with_id_text, written
+from .shared import batches, documents, pieces, shared_dir, with_id, with_id_text, written
 
 #: Coordinates that are posted, and all coordinates, of which BITS bits each are compared; standard deviations below the mean of
 #: a pair at the threshold at which a pair is still looked at.
@@ -42,8 +42,8 @@ LEADER_ROUNDS, LEFT_OVER, SMALL = 8, 1000, 64
 #: The same for lists of rare shingles: rounds, which end once one takes away less than a tenth of the pairs or leaves RARE_LEFT a
 #: posting; members of the main component that the others meet; rows of a list that one task pairs with the whole list.
 RARE_ROUNDS, RARE_LEFT, LEADERS, CHUNK = 12, 16, 4, 2048
-#: Words whose hashes a Python worker keeps; its memory counts beside the JVM's.
-WORDS = 200_000
+#: Words whose hashes a Python worker keeps, and rows and bytes that it gets at once; its memory counts beside the JVM's.
+WORDS, ROWS, BYTES = 50_000, 500, 4_000_000
 _RNG = np.random.default_rng(20240229)
 _XOR, _MUL = _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64), _RNG.integers(0, 1 << 63, WIDTH // 2, dtype=np.uint64) | np.uint64(1)
 
@@ -193,7 +193,8 @@ def contracted(label: DataFrame, found: DataFrame | None, first: bool = False) -
     if not first:
         for x in ("a", "b"):
             found = found.withColumnRenamed(x, "end").join(label.select(F.col("id").alias("end"), F.col("component").alias(x)), "end").drop("end")
-    joins = written(found.select("a", "b").where("a <> b").distinct(), "joins")
+    with batches(label.sparkSession, ROWS, BYTES):
+        joins = written(found.select("a", "b").where("a <> b").distinct(), "joins")
     if joins.isEmpty():
         return None
     into = components(joins).select(F.col("id").alias("component"), F.col("component").alias("into"))
@@ -209,7 +210,8 @@ def rare_postings(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
         return pd.Series([shingles(t).view(np.int64) for t in text])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    shingles = written(texts.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text")).alias("s")), "shingles")
+    with batches(docs.sparkSession, ROWS, BYTES):
+        shingles = written(texts.select("id", F.explode(F.pandas_udf(sets, "array<long>")("text")).alias("s")), "shingles")
     shared = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("p"))
     # shingles of one set alone come first and meet no other
@@ -304,7 +306,8 @@ def by_rare_rounds(ids: DataFrame, classes: DataFrame, docs: DataFrame, label: D
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept."""
     shared_dir(spark)
-    book = written(sketches(docs, n), "sketches")
+    with batches(spark, ROWS, BYTES):
+        book = written(sketches(docs, n), "sketches")
     classes = book.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
     classes = written(classes, "classes")
     posts = written(prefixes(classes, needed(H, percent)), "posts")

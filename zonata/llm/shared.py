@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """What is run inside passes to Python workers so many rows or bytes at once, at most; an executor holds a batch more than
+    once for each of its tasks, beside its heap. Before and after, the session's own settings hold."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def with_id_text(docs: DataFrame) -> DataFrame:
     """doc_id as text, to go through pandas, which turns whole numbers beside nulls into floats; `with_id` turns it back."""
