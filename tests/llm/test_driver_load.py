@@ -41,3 +41,19 @@ def test_rounds_take_few_tasks(spark, docs, operator, most):
     run = {"mix": lambda: mixing.mix(spark, docs).collect(), "link": lambda: neardup.link(spark, near, 3, 85).collect()}[operator]
     n = tasks_of(spark, run)
     assert PARTITIONS < n < most * PARTITIONS
+
+
+def whole_collections(spark):
+    """Whole collections of the driver's heap so far."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_rounds_do_not_pile_up_garbage_on_the_driver(spark, monkeypatch):
+    """Each round of near-dedup starts with a collected heap."""
+    near = spark.createDataFrame(copies(), "doc_id long, text string").repartition(2)
+    seen, given = [], neardup.contracted
+    monkeypatch.setattr(neardup, "contracted", lambda *a, **b: (seen.append(whole_collections(spark)), given(*a, **b))[1])
+    before = whole_collections(spark)
+    neardup.link(spark, near, 3, 85).collect()
+    assert seen and seen[0] > before and all(a < b for a, b in zip(seen, seen[1:]))

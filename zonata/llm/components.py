@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -17,7 +17,9 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     links = links.select("a", "b").where("a <> b")
     edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % 4 == 0:
+            tidy(links.sparkSession)
         around = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         near = labels.join(around, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("before"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))

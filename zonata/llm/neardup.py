@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches, documents, pieces, shared_dir, with_id, with_id_text, written
+from .shared import batches, documents, pieces, shared_dir, tidy, with_id, with_id_text, written
 
 #: Coordinates that are posted, and all coordinates, of which BITS bits each are compared; standard deviations below the mean of
 #: a pair at the threshold at which a pair is still looked at.
@@ -287,6 +287,7 @@ def by_rare_rounds(ids: DataFrame, classes: DataFrame, docs: DataFrame, label: D
     posted = written(rare_postings(ids, docs, n, percent), "rare")
     total, before, new = posted.count(), float("inf"), label
     for k in range(RARE_ROUNDS + 1):
+        tidy(docs.sparkSession)
         if new is not None:
             label = new
             placed = written(posted.join(label, "id"), "rare-placed")
@@ -315,6 +316,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) ->
     label = posts.select("id").distinct().withColumn("component", F.col("id"))
     before, unmoved = float("inf"), True
     for k in range(LEADER_ROUNDS + 1):
+        tidy(spark)
         placed = posts.withColumn("component", F.col("id")) if unmoved else posts.join(label, "id")
         lists = placed.groupBy("v", "component").agg(F.count(F.lit(1)).alias("g")).groupBy("v").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
         open_ = written(lists.where("m * m > own").select("v", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("cross")), "lists")

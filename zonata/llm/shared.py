@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """For between rounds of many small jobs: the driver collects its garbage, else its heap grows round by round to its limit,
+    of which little is in use, and executors keep what earlier rounds shuffled and broadcast (Spark drops it once its handles on
+    the driver are collected)."""
+    gc.collect()  # Python's handles first
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
