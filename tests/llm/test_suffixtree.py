@@ -1,14 +1,19 @@
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from zonata.llm import suffixtree as S
 from zonata.llm.shared import hashed_part
 
+from .conftest import words as some_words
+
 
 def toks(t):
     return [*(t or "").encode().lower().split(), b"\n"]
@@ -115,3 +120,28 @@ def test_the_tree_grows_with_the_input(spark):
             unit = w[-S.TAIL :] + b" " + w
             codes = S.grams([f"{w.decode()} {w.decode()}"])[0][len(w) + 1 : 2 * len(w) + 2]  # the second word's
             assert all(math.isclose(told[c], math.log10(plain.p(*x)), rel_tol=1e-9) for c, x in zip(codes.tolist(), plain.symbols(unit), strict=True))
+
+
+class Task:
+    """Stands for a table: keeps what a task would run."""
+
+    def mapInPandas(self, work, schema):
+        return work
+
+
+def test_a_gram_task_holds_little(monkeypatch):
+    """A worker's memory counts beside the JVM's; what it holds must not follow the size of its batches."""
+    rng = random.Random(2)
+    text = some_words(rng, 20_000)
+    frame = pd.DataFrame({"text": [text] * 60, "learn": [True] * 60})
+    monkeypatch.setattr(S, "_told_apart", lambda docs, learn: Task())
+    gathered = S.gram_counts(None, None)
+    tracemalloc.start()
+    try:
+        put = list(gathered(iter([frame])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = len(S.grams([text])[0])
+    assert sum(p["u"].sum() for p in put) == sum(p["n"].sum() for p in put) == 60 * n > 6_000_000
+    assert most < 100e6

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, documents, hashed_part, pieces, shared_dir, with_id_text, written
+from .shared import batches, discard, documents, hashed_part, pieces, shared_dir, with_id_text, written
 
 #: Bytes of the longest context, of the contexts that every task has, and by which subtrees are dealt out.
 DEPTH, SHORT, TOGETHER, END = 6, 2, 3, b"\n"
@@ -44,7 +44,11 @@ USUAL = 1_500_000
 #: Words of at least this share of the training tokens (so 1 / FREQUENT at most) are broadcast, others joined.
 FREQUENT = 1e-6
 #: Rows that a task takes at once, but for the rest of the last subtree.
-BLOCK = 500_000
+BLOCK = 250_000
+#: Characters that are cut into grams or words at once; grams that a task holds before it sums them up and different words before
+#: it puts them out; different grams that it puts out in one frame. Rows and bytes that a Python worker gets at once. A worker's memory counts beside
+#: the JVM's, whose heap can grow to its limit.
+CHARS, HELD, WORDS, PUT, ROWS, BYTES = 1_000_000, 2_500_000, 250_000, 100_000, 2_000, 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -61,11 +65,11 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         learnt: Counter[bytes] = Counter()
         others: Counter[bytes] = Counter()
-        for part in chain(pieces(frames, "text", 4_000_000), [None]):
+        for part in chain(pieces(frames, "text", CHARS), [None]):
             if part is not None:
                 for t, learn in zip(part["text"], part["learn"], strict=True):
                     (learnt if learn else others).update([*tokens(t), END])
-            if part is None or len(learnt) + len(others) > 500_000:
+            if part is None or len(learnt) + len(others) > WORDS:
                 yield pd.DataFrame({"word": [*learnt, *others], "n": [*learnt.values(), *([0] * len(others))]})
                 learnt.clear()
                 others.clear()
@@ -133,14 +137,20 @@ def gram_counts(docs: DataFrame, learn: Column) -> DataFrame:
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
-        for part in chain(pieces(frames, "text", 4_000_000), [None]):
+        for part in chain(pieces(frames, "text", CHARS), [None]):
             if part is not None:
                 codes, sizes = grams(part["text"])
                 held.append(counted(codes, np.repeat(part["learn"].to_numpy(bool), sizes)))
-            if held and (part is None or sum(len(h[0]) for h in held) > 2_500_000):
-                held = [gathered_up(*map(np.concatenate, zip(*held, strict=True)))]
-                if part is None or len(held[0][0]) > 1_500_000:
-                    yield pd.DataFrame(dict(zip(("gram", "u", "n"), held.pop(), strict=True)))
+                del codes, sizes
+            if held and (part is None or sum(len(h[0]) for h in held) > HELD):
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                held.clear()
+                held.append(gathered_up(*whole))
+                del whole
+                if part is None or 5 * len(held[0][0]) > 3 * HELD:
+                    put = held.pop()
+                    for at in range(0, len(put[0]), PUT):
+                        yield pd.DataFrame(dict(zip(("gram", "u", "n"), (c[at : at + PUT] for c in put), strict=True)))
 
     return _told_apart(docs, learn).mapInPandas(gathered, "gram long, u long, n long")
 
@@ -276,7 +286,8 @@ def probabilities(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFr
     """gram, u, lp: the log10 probability of each gram of the texts by the tree that those to learn from grow."""
     # dealt out by subtrees; the sums over the tasks' counts are made where these are grown
     dealt = gram_counts(docs, learn).repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER + 1))).sortWithinPartitions("gram")
-    counts = written(dealt.mapInPandas(_subtrees, "gram long, u long, n long"), "grams")
+    with batches(spark, ROWS, BYTES):
+        counts = written(dealt.mapInPandas(_subtrees, "gram long, u long, n long"), "grams")
     base = spark.sparkContext.broadcast(base_of(counts))
 
     def grown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,7 +296,8 @@ def probabilities(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFr
             yield pd.DataFrame({"gram": codes, "u": part["u"].to_numpy(), "lp": np.log10(levels(codes, part["n"].to_numpy(), base.value))})
 
     again = counts.repartition(F.shiftright("gram", 8 * (DEPTH - TOGETHER + 1))).sortWithinPartitions("gram")
-    out = written(again.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
+    with batches(spark, ROWS, BYTES):
+        out = written(again.mapInPandas(grown, "gram long, u long, lp double"), "probabilities")
     discard(counts)
     return out
 
@@ -320,7 +332,8 @@ def usual_grams(told: DataFrame) -> float:
 def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learn: whether a row is learned from."""
     shared_dir(spark)
-    counts = written(word_counts(docs, learn), "words")
+    with batches(spark, ROWS, BYTES):
+        counts = written(word_counts(docs, learn), "words")
     n_all, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     frequent = (F.col("n") > 0) & (F.col("n") >= FREQUENT * n_all)
     usual = counts.where(frequent).toArrow()
@@ -351,7 +364,8 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column) -> DataFrame:
             })
 
     schema = "doc_id string, row long, n_tokens long, n_usual long, usual double, score double, rare array<binary>, times array<int>, grams array<long>, seen array<int>"
-    first = written(with_id_text(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
+    with batches(spark, ROWS, BYTES):
+        first = written(with_id_text(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     looked = rare.join(counts.where(~frequent), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
