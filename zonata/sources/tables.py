@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -14,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table with place (long), the rows' order in it: files by their paths, rows as a file has them."""
+    rows = table(spark, sf_dir, name).select(*columns, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    files = rows.select("__f").distinct().select("__f", (F.row_number().over(Window.orderBy("__f")) - 1).cast("long").alias("__i"))  # a row a file
+    return rows.join(F.broadcast(files), "__f").select(*columns, (F.shiftleft("__i", 40) + F.col("__r")).alias("place"))
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> DataFrame:
     """Spark SQL over the driver's tables, named as ``{name}`` in the text."""
     used = {n: table(spark, sf_dir, n) for n in TABLES if "{" + n + "}" in text}
@@ -42,9 +50,28 @@ group by o_orderkey, r_name, n_name, c_mktsegment, o_totalprice
 """
 
 
+LOBULES = """
+select o_orderkey as lobule, r_name as species, n_name as subject, c_mktsegment as roi, o_totalprice as area, count(*) as times
+from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey join {region} on r_regionkey = n_regionkey
+group by o_orderkey, r_name, n_name, c_mktsegment, o_totalprice
+"""
+
+
 def slide_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometry table: one row per lobule with its measures."""
-    return sql(spark, sf_dir, SLIDE_STATS)
+    """Geometry table, as SLIDE_STATS has it: one row per lobule with its measures.
+
+    Its sums are added in the order of the table's rows: doubles added in another order differ in their last digit, which
+    splits equal measures and so changes ranks."""
+    lines = placed(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_discount", "l_extendedprice")
+    each = Window.partitionBy("l_orderkey").orderBy("place")
+    so_far = each.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = lines.select(
+        F.col("l_orderkey").alias("lobule"), F.sum("l_quantity").over(so_far).alias("perimeter"), F.avg("l_discount").over(so_far).alias("compactness"),
+        F.max("l_extendedprice").over(so_far).alias("minimum_bounding_radius"), F.lead("place").over(each).alias("__next"),
+    )
+    whole = sums.where("__next is null").drop("__next")
+    found = sql(spark, sf_dir, LOBULES).join(whole, "lobule")
+    return found.select("lobule", "species", "subject", "roi", "area", (F.col("perimeter") * F.col("times")).alias("perimeter"), "compactness", "minimum_bounding_radius")
 
 
 PIXELS = """
