@@ -47,7 +47,7 @@ def duck(folder):
     return c
 
 
-@pytest.mark.parametrize("name", ["a11_spearman", "a4_kruskal", "a8_dunn", "a9_mann_whitney", "j11_significance_gate", "w10_significance_symbol"])
+@pytest.mark.parametrize("name", ["a11_spearman", "a4_kruskal", "a8_dunn", "a9_mann_whitney", "j11_significance_gate", "w10_significance_symbol", "w11_first_per_group"])
 def test_against_sql(spark, duck, folder, name):
     df = registry.queries()[name](spark, folder)
     out = duck.sql(registry.oracle_sql()[name])

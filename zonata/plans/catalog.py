@@ -100,7 +100,7 @@ QUERIES = {
     "w3_cluster_order_whole": lambda spark, sf_dir: rounded(_centre_norms(tables.table(spark, sf_dir, "embeddings")).withColumn("ord", F.row_number().over(Window.orderBy("norm", "label")))),
     "w4_cumulative_sum": lambda spark, sf_dir: rounded(tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)).alias("running"))),
     "w8_greedy_assignment": _greedy,
-    "w11_first_per_group": lambda spark, sf_dir: C.first_per(tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"]),
+    "w11_first_per_group": lambda spark, sf_dir: C.first_per(tables.placed(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], [F.asc_nulls_last("l_linenumber"), "place"]).drop("place"),
     "u1_concat_tables": lambda spark, sf_dir: tables.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.lit("c").alias("kind")).unionByName(tables.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.lit("s").alias("kind"))).groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n")),
     "u3_complement_split": lambda spark, sf_dir: tables.table(spark, sf_dir, "part").select("p_partkey").join(tables.table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
     "u5_category_union": lambda spark, sf_dir: tables.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")).union(tables.table(spark, sf_dir, "supplier").select("s_nationkey")).distinct(),
