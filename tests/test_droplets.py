@@ -133,3 +133,16 @@ def test_prepared_stack(spark):
         assert out.where("v < 0 or v > 255").count() == 0
     with pytest.raises(ValueError):
         stack.prepare(df, ["roi"], kind="other")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_pixels_are_not_broadcast(spark, gray):
+    """Files of pixels are small, so the optimiser would send the pixels themselves through the driver."""
+    bright = components.hysteresis(spark, gray, ["image_id"], 170, 200)
+    assert "Broadcast" not in plan_of(bright)
+    opened = components.stored(gray.selectExpr("image_id", "y", "x", "cast(v > 200 as int) as m"))
+    assert "Broadcast" not in plan_of(droplets.basins(spark, opened, ["image_id"], 5))
+    assert "Broadcast" not in plan_of(droplets.droplet_features(spark, bright, ["image_id"], least=150))
