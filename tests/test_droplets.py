@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from zonata.operators import components, droplets, stack
+from zonata.operators import components, droplets, raster, stack
 
 PIXEL = "image_id long, y int, x int, v int"
 CENTRES = {0: [(14, 14, 8), (14, 27, 8), (40, 20, 11), (31, 44, 9)], 1: [(32, 32, 10)]}
@@ -146,3 +146,32 @@ def test_stored_pixels_are_not_broadcast(spark, gray):
     opened = components.stored(gray.selectExpr("image_id", "y", "x", "cast(v > 200 as int) as m"))
     assert "Broadcast" not in plan_of(droplets.basins(spark, opened, ["image_id"], 5))
     assert "Broadcast" not in plan_of(droplets.droplet_features(spark, bright, ["image_id"], least=150))
+
+
+def sparse_images():
+    rng, rows = np.random.default_rng(0), []
+    for k, (y0, x0, h, w, share) in enumerate([(0, 0, 20, 9, 1), (16, 48, 12, 10, 1), (0, 0, 14, 14, 0.6), (5, 3, 9, 9, 0.3), (0, 0, 1, 1, 1)]):
+        rows += [(k, y0 + y, x0 + x, int(rng.integers(0, 256))) for y in range(h) for x in range(w) if rng.random() < share]
+    return rows
+
+
+@pytest.mark.parametrize("d", [3, 5])
+def test_bilateral_against_loops(spark, d):
+    """Also over ends of bands and with pixels missing; pixels are not multiplied by their neighbours on the way."""
+    rows, r = sparse_images(), d // 2
+    values, size, want = {row[:3]: row[3] for row in rows}, {}, {}
+    for k, y, x, _ in rows:
+        h, w = size.get(k, (0, 0))
+        size[k] = max(h, y), max(w, x)
+    for (k, y, x), v in values.items():
+        met = []
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                o = values.get((k, min(max(y + dy, 0), size[k][0]), min(max(x + dx, 0), size[k][1])))
+                if o is not None and dy * dy + dx * dx <= r * r:
+                    met.append((np.exp((o - v) ** 2 / (-2 * 50.0**2) + (dy * dy + dx * dx) / (-2 * 75.0**2)), o))
+        want[k, y, x] = sum(g * o for g, o in met) / sum(g for g, _ in met)
+    out = raster.bilateral(components.stored(spark.createDataFrame(rows, PIXEL)), ["image_id"], d, 50.0, 75.0, band=4)
+    got = {(p["image_id"], p["y"], p["x"]): p["v"] for p in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert "__y" not in plan_of(out)  # no join of pixels with their neighbours'
