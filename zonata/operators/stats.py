@@ -5,10 +5,13 @@ The long form is (scope..., grp, attr, value). `long` makes it from a wide table
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .components import stored
 
 
 def long(df: DataFrame, group: str, attrs: list[str], scope: tuple[str, ...] = (), logs: tuple[str, ...] = ()) -> DataFrame:
@@ -59,7 +62,10 @@ def _rank_sums(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def kruskal(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, stat (H, corrected for ties), df, pvalue."""
-    groups, ties = _rank_sums(rows, keys)
+    return _kruskal(*_rank_sums(rows, keys), keys)
+
+
+def _kruskal(groups: DataFrame, ties: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("total").cast("double")
     h = groups.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).join(ties, keys)
     h = h.withColumn("stat", (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))).withColumn("df", F.col("k") - 1)
@@ -101,7 +107,10 @@ def tukey(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def dunn(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, group1, group2, stat (null, as tables of this test have it), z, pvalue times the number of pairs, 1 at most."""
-    groups, ties = _rank_sums(rows, keys)
+    return _dunn(*_rank_sums(rows, keys), keys)
+
+
+def _dunn(groups: DataFrame, ties: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("total").cast("double")
     out = _pairs(groups.withColumn("mean", F.col("r") / F.col("n")), keys, ["n", "mean"]).join(ties, keys)
     var = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("n1") + 1 / F.col("n2"))
@@ -131,19 +140,61 @@ def mann_whitney(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("z", z).select(*pk, "stat", "z", F.least(F.lit(1.0), 2 * special.normal_tail("z")).alias("pvalue"))
 
 
-def run_all(df: DataFrame, scopes: list[tuple[str, str, tuple[str, ...]]], attrs: list[str], logs: tuple[str, ...] = ()) -> DataFrame:
-    """Kruskal, Levene and Dunn rows of all scopes (name, group column, scope columns) in one table with a sheet name."""
-    parts = []
-    for name, group, scope in scopes:
-        sheet = F.concat_ws("-", F.lit(name), *scope)
-        parts.append(long(df, group, attrs, scope, logs).select(sheet.alias("sheet"), F.lit(group).alias("nominal_var"), "grp", "attr", "value"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+def _bucketed(wide: DataFrame, columns: list[str], attrs: list[str], buckets: int) -> DataFrame:
+    """columns, attr, value, bucket: values dealt to ranges of about equal numbers; equal values share one."""
+    cuts = wide.select(*(F.percentile_approx(a, [i / buckets for i in range(1, buckets)], 10_000).alias(a) for a in attrs)).first()  # a row of cuts
+
+    def at(name: str):
+        edges = np.unique(np.asarray(cuts[name] or [], float))
+
+        @F.pandas_udf("int")
+        def place(v: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(edges, v.to_numpy(float)), dtype="int32")
+
+        return place(name)
+
+    both = wide.select(*columns, *(F.struct(F.lit(a).alias("attr"), F.col(a).alias("value"), at(a).alias("bucket")).alias(f"__{a}") for a in attrs))
+    return both.select(*columns, F.explode(F.array(*(f"__{a}" for a in attrs))).alias("__e")).select(*columns, "__e.*").where("value is not null")
+
+
+def run_all(df: DataFrame, scopes: list[tuple[str, str, tuple[str, ...]]], attrs: list[str], logs: tuple[str, ...] = (), buckets: int = 128) -> DataFrame:
+    """Kruskal, Levene and Dunn rows of all scopes (name, group column, scope columns) in one table with a sheet name.
+
+    df is read once and stored. Its rows are shuffled once, for all scopes, by ranges of values; ranks within a range are moved on by the
+    number of smaller values, medians are looked up in the ranges that hold them. No task takes an attribute or a scope whole."""
+    columns = list(dict.fromkeys(c for _, group, scope in scopes for c in (group, *scope)))
+    wide = stored(df.select(*columns, *((F.log10(a) if a in logs else F.col(a).cast("double")).alias(a) for a in attrs)))
+    rows = _bucketed(wide, columns, attrs, buckets)
+    sheets = F.array(*(F.struct(F.concat_ws("-", F.lit(name), *scope).alias("sheet"), F.lit(group).alias("nominal_var"), F.col(group).cast("string").alias("grp")) for name, group, scope in scopes))
     keys, none = ["sheet", "nominal_var", "attr"], F.lit(None).cast("string")
+    by_sheet = lambda d, *more: d.select("attr", "bucket", "value", *more, F.explode(sheets).alias("__s")).select("attr", "bucket", "value", *more, "__s.*")
+
+    counted = rows.repartition("attr", "bucket").groupBy("attr", "bucket", "value", *columns).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys, "bucket").orderBy("value")
+    upto, t = F.sum("c").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.sum("c").over(order.rangeBetween(0, 0))
+    ranked = by_sheet(counted, "c").select("*", (upto - t + (t + 1) / 2).alias("rank"), t.cast("double").alias("t"))
+    c = F.col("c")
+    parts = stored(ranked.groupBy(*keys, "grp", "bucket").agg(F.sum(c).alias("n"), F.sum(c * F.col("rank")).alias("r"), F.sum(c * (F.col("t") * F.col("t") - 1)).alias("ties")))
+
+    smaller = parts.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
+    smaller = smaller.select(*keys, "bucket", F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("m"))
+    sums = parts.join(smaller.hint("merge"), [*keys, "bucket"]).groupBy(*keys, "grp").agg(F.sum("n").alias("n"), F.sum(F.col("r") + F.col("n").cast("double") * F.col("m")).alias("r"), F.sum("ties").alias("ties"))
+    ties = sums.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"))
+
+    own = Window.partitionBy(*keys, "grp")
+    before = F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    at = parts.select(*keys, "grp", "bucket", "n", before.alias("b"), F.sum("n").over(own).alias("all"))
+    at = at.select(*keys, "grp", "bucket", "n", (F.floor((F.col("all") + 1) / 2) - F.col("b")).alias("low"), (F.floor(F.col("all") / 2) + 1 - F.col("b")).alias("high"))
+    held = by_sheet(rows).join(at.where("low between 1 and n or high between 1 and n").drop("n"), [*keys, "grp", "bucket"])
+    held = held.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "grp", "bucket").orderBy("value")))
+    pick = lambda place: F.max(F.when(F.col("i") == F.col(place), F.col("value")))
+    medians = stored(held.groupBy(*keys, "grp").agg(((pick("low") + pick("high")) / 2).alias("med")))
+    far = by_sheet(rows).join(medians, [*keys, "grp"]).withColumn("value", F.abs(F.col("value") - F.col("med")))
+
     one = lambda d, name: d.select(F.lit(name).alias("test"), *keys, none.alias("group1"), none.alias("group2"), "stat", "pvalue")
-    pair = dunn(rows, keys).select(F.lit("dunn").alias("test"), *keys, "group1", "group2", "stat", "pvalue")
-    return one(kruskal(rows, keys), "kruskal").unionByName(one(levene(rows, keys), "levene")).unionByName(pair)
+    sums = sums.drop("ties")
+    pair = _dunn(sums, ties, keys).select(F.lit("dunn").alias("test"), *keys, "group1", "group2", "stat", "pvalue")
+    return one(_kruskal(sums, ties, keys), "kruskal").unionByName(one(anova(far, keys), "levene")).unionByName(pair)
 
 
 def spearman(df: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
